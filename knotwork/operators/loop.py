@@ -12,9 +12,14 @@ from knotwork.session import ensure_checkpoint_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder. Its partitioning is kept.
+
+    The columns are aliased because a checkpoint carries constraints on columns of the old plan,
+    which a union right above it cannot resolve.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    return done.select(*[done[f"`{c}`"].alias(c) for c in done.columns])
 
 
 def cut_counting(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
@@ -24,14 +29,6 @@ def cut_counting(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return done, seen.get
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
-
-
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()
-
-
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the one with the greatest ``order`` tuple.
 
