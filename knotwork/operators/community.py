@@ -60,13 +60,13 @@ def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float, max_ro
         )
         if seen["n"] == 0:
             idle += 1
-            if idle > 3:
+            if idle > 1:
                 break
             continue
         quality = modularity(arcs, moved, resolution)
         if quality <= best + 1e-9:
             idle += 1
-            if idle > 3:
+            if idle > 1:
                 break
             continue
         idle, best, moved_any = 0, quality, True

@@ -21,11 +21,14 @@ def uri_closure(subclass: DataFrame) -> DataFrame:
     while True:
         left = known.select("child_uri", F.col("parent_uri").alias("_mid"))
         right = known.select(F.col("child_uri").alias("_mid"), "parent_uri")
-        steps = left.join(right, "_mid").select("child_uri", "parent_uri").distinct()
-        fresh, seen = cut_counting(steps.join(known, ["child_uri", "parent_uri"], "left_anti"), n=F.count("*"))
+        steps = left.join(right, "_mid").select("child_uri", "parent_uri", F.lit(True).alias("fresh"))
+        both = known.withColumn("fresh", F.lit(False)).unionByName(steps)
+        known, seen = cut_counting(
+            both.groupBy("child_uri", "parent_uri").agg(F.bool_and("fresh").alias("fresh")), n=F.count_if("fresh")
+        )
+        known = known.drop("fresh")
         if seen["n"] == 0:
             return known
-        known = cut(known.unionByName(fresh))
 
 
 def label_closure(onto: Ontology) -> DataFrame:

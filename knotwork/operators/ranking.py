@@ -22,14 +22,14 @@ def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, start: int = 1) -> DataFrame:
     """Dense row number of each row in its group, by ascending ``order``."""
     placed = ranged(df, keys, order)
-    local = placed.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
+    local = placed.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)))
     sizes = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     return (
         local.join(offsets, [*keys, "_range"])
-        .withColumn(name, (F.col("_n") + F.col("_o") + F.lit(start - 1)).cast("bigint"))
-        .drop("_n", "_o", "_range")
+        .withColumn(name, (F.col("_local") + F.col("_o") + F.lit(start - 1)).cast("bigint"))
+        .drop("_local", "_o", "_range")
     )
 
 

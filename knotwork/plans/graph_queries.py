@@ -438,7 +438,7 @@ r{i} AS MATERIALIZED (
     return kg_sql(f"SELECT id, round(score * 1000, 6) AS score_permille FROM r{rounds}", *parts)
 
 
-@query("G3_pagerank", pagerank_sql(12))
+@query("G3_pagerank", pagerank_sql(32))
 def pagerank(g):
     return run_algorithm(g.entities, g.edges, "pagerank").select("id", F.round(F.col("score") * 1000, 6).alias("score_permille"))
 
@@ -530,7 +530,7 @@ def communities(g):
 SELECT array_to_string(path, ' > ') AS path, round(cost, 6) AS cost FROM (
   SELECT [c.source, c.target, s.target, p.target] AS path, (c.weight + s.weight) + p.weight AS cost FROM edges c JOIN edges s ON s.source = c.target JOIN edges p ON p.source = s.target
   WHERE c.source = 'tpch:customer-0' AND c.type = 'purchases from' AND p.target = 'tpch:size-3')
-ORDER BY cost LIMIT 1"""))
+ORDER BY cost, path[3], path[2] LIMIT 1"""))
 def shortest_path(g):
     return paths.weighted_shortest_path(g.entities, g.edges, SOURCE, f"{GRAPH}:size-3").select(
         F.array_join("path", " > ").alias("path"), F.round("cost", 6).alias("cost")
