@@ -58,10 +58,11 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
     Entities need a name and a known type; relationships a known relation and two names extracted
     from the same document, in any case; they take the extracted spelling. Confidence is 1 if absent.
     """
-    parsed = payloads.select(
-        "doc_id", "payload", F.try_parse_json("payload").isNull().alias("bad"), F.from_json("payload", EXTRACTION).alias("p")
-    )
-    bad = parsed.filter("bad").select("doc_id", F.concat(F.lit("Could not parse response as JSON: "), F.substring("payload", 1, 120)).alias("reason"))
+    parsed = cut(payloads.select(
+        "doc_id", F.substring("payload", 1, 120).alias("head"), F.try_parse_json("payload").isNull().alias("bad"),
+        F.from_json("payload", EXTRACTION).alias("p"),
+    ))
+    bad = parsed.filter("bad").select("doc_id", F.concat(F.lit("Could not parse response as JSON: "), "head").alias("reason"))
     good = parsed.filter(~F.col("bad"))
 
     def text(field):

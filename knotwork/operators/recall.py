@@ -94,6 +94,10 @@ def overlap_ranking(catalogue: DataFrame, task: str, limit: int = 5) -> DataFram
     return top_k(hits.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.asc("name")], limit).drop("_all")
 
 
+def _occurrences(words: str, term: str):
+    return F.size(F.filter(words, lambda x: x == term))
+
+
 def ranked_search(catalogue: DataFrame, task: str, domain: str | None = None, limit: int = 5) -> DataFrame:
     """BM25 over descriptions of rows with confidence above one half or none; a domain match adds 0.2.
 
@@ -108,7 +112,7 @@ def ranked_search(catalogue: DataFrame, task: str, domain: str | None = None, li
     words = F.regexp_extract_all(F.lower("description"), F.lit("([a-z0-9]+)"), 1)
     rows = catalogue.filter(F.col("confidence").isNull() | (F.col("confidence") > MIN_CONFIDENCE)).select("name", "domain", words.alias("w"))
     rows = rows.select("name", "domain", F.size("w").alias("length"), *[
-        F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"t{i}") for i, t in enumerate(terms)
+        _occurrences("w", t).alias(f"t{i}") for i, t in enumerate(terms)
     ])
     totals = rows.agg(F.struct(
         F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]

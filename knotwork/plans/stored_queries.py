@@ -211,7 +211,7 @@ SELECT 'class' AS kind, uri, label, NULL::VARCHAR AS a, NULL::VARCHAR AS b FROM
 UNION ALL SELECT 'property', uri, label, domain, range FROM property_rows
 UNION ALL SELECT 'subclass', child_uri, NULL, parent_uri, NULL FROM sub_rows"""))
 def load_ontology(g):
-    o = load_schema(g.rdf)
+    o = load_schema(cut(g.rdf))
     none = F.lit(None).cast("string")
     return (
         o.classes.select(F.lit("class").alias("kind"), "uri", "label", none.alias("a"), none.alias("b"))

@@ -170,13 +170,13 @@ def materialization(g):
 SLUGS = "'g:' || trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-')"
 INGESTED = f"""
 acts AS (
-  SELECT {SLUGS.format('c_name')} AS source, 'purchases from' AS type, {SLUGS.format('s_name')} AS target, CAST(0.6 AS DOUBLE) AS weight, o_orderdate AS at,
+  SELECT {SLUGS.format('c_name')} AS source, 'purchases from' AS type, {SLUGS.format('s_name')} AS target, CAST(0.6 AS DOUBLE) AS weight, o_orderdate AS moment,
          o_orderkey AS doc, n AS pos FROM good JOIN sold ON l_orderkey = o_orderkey
   UNION ALL SELECT {SLUGS.format('c_name')}, 'is located in', {SLUGS.format("'total ' || o_orderkey")}, 1.0, o_orderdate, o_orderkey, 10000 FROM good WHERE o_orderstatus = 'F'
   UNION ALL SELECT {SLUGS.format('c_name')}, 'is priced at', {SLUGS.format("'total ' || o_orderkey")}, 0.7, o_orderdate, o_orderkey, 0 FROM good WHERE o_orderstatus = 'F'),
-seqd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY at, doc, pos) AS seq FROM acts),
-firsts AS MATERIALIZED (SELECT source, type, target, min(seq) AS seq, min(at) AS valid_at FROM seqd GROUP BY 1, 2, 3),
-closed AS (SELECT f.source, f.type, f.target, arg_min(x.at, x.seq) AS invalid_at FROM firsts f JOIN seqd x ON x.source = f.source AND x.type = f.type AND x.target <> f.target AND x.seq > f.seq GROUP BY 1, 2, 3)"""
+seqd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY moment, doc, pos) AS seq FROM acts),
+firsts AS MATERIALIZED (SELECT source, type, target, min(seq) AS seq, min(moment) AS valid_at FROM seqd GROUP BY 1, 2, 3),
+closed AS (SELECT f.source, f.type, f.target, arg_min(x.moment, x.seq) AS invalid_at FROM firsts f JOIN seqd x ON x.source = f.source AND x.type = f.type AND x.target <> f.target AND x.seq > f.seq GROUP BY 1, 2, 3)"""
 INGESTED_EDGES = f"""
 WITH {EXTRACTED}, {INGESTED} SELECT f.source || '->' || replace(f.type, ' ', '-') || '->' || substr(f.target, 3) AS id, f.valid_at, c.invalid_at
 FROM firsts f LEFT JOIN closed c ON c.source = f.source AND c.type = f.type AND c.target = f.target"""
@@ -279,17 +279,18 @@ def implicit_rejects(g):
 
 
 @query("X9_ungrounded_claims", r"""
-WITH pairs AS (SELECT a.conv_id, a.turn, a.text AS reply, lower(b.text) AS g FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
+WITH pairs AS (SELECT a.doc_id, a.text AS reply, lower(b.text) AS g FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1),
 lists AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(reply, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM pairs),
-s AS (SELECT conv_id, turn, g, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos FROM lists),
+s AS (SELECT doc_id, g, unnest(parts) AS sentence, generate_subscripts(parts, 1) - 1 AS pos FROM lists),
 a AS (SELECT *, regexp_replace(lower(sentence[1]) || sentence[2:], '[^\x00-\x7F]', '_', 'g') AS adjusted FROM s),
 t AS (SELECT *, list_concat(regexp_extract_all(adjusted, '\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)+\b'), regexp_extract_all(adjusted, '\b\d[\d,.]{2,}\b')) AS found FROM a)
-SELECT 'm-' || conv_id || '-' || turn AS id, CAST(pos AS BIGINT) AS pos, sentence FROM t WHERE len(list_filter(found, lambda x: NOT contains(g, lower(x)))) > 0""")
+SELECT 'doc-' || doc_id AS id, CAST(pos AS BIGINT) AS pos, sentence FROM t WHERE len(list_filter(found, lambda x: NOT contains(g, lower(x)))) > 0""")
 def ungrounded_claims(g):
-    rows = g.table("conversations")
-    before = rows.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("grounding"))
-    replies = rows.join(before, ["conv_id", "turn"]).select(
-        F.concat_ws("-", F.lit("m"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("reply"), "grounding"
+    """Each document is checked against the one before it."""
+    rows = g.table("documents").select("doc_id", "text")
+    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("grounding"))
+    replies = rows.join(before, "doc_id").select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("reply"), "grounding"
     )
     return extraction.ungrounded_claims(replies)
 

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.operators.loop import keep_last
+from knotwork.operators.loop import cut
 
 GRAPH = "tpch"
 OWL = "http://www.w3.org/2002/07/owl#"
@@ -53,8 +53,15 @@ class TpchGraph:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+    _schemas: dict = {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table. Its schema is read from the files once and given to later reads."""
+        path = f"{self.folder}/{name}.parquet"
+        known = self._schemas.get(path)
+        out = self.spark.read.schema(known).parquet(path) if known is not None else self.spark.read.parquet(path)
+        self._schemas.setdefault(path, out.schema)
+        return out
 
     def _nodes(self, table: str, key: str, label, type_, prefix: str, props) -> DataFrame:
         return self.table(table).select(
@@ -234,7 +241,7 @@ class TpchGraph:
     def ontology(self):
         from knotwork.sources.ontology import load_schema
 
-        return load_schema(self.rdf)
+        return load_schema(cut(self.rdf))
 
     @cached_property
     def rules(self) -> DataFrame:
