@@ -91,8 +91,7 @@ def _relation(triples: DataFrame, atom: Atom, equal: bool, spelled: bool) -> Dat
     columns = {f"v_{name}": F.lower(value) for name, value in values.items()}
     if spelled:
         columns |= {f"s_{name}": value for name, value in values.items()}
-    rows = rows.select(*[value.alias(name) for name, value in columns.items()], F.lit(1).cast("bigint").alias("n"))
-    return _sum(rows, list(columns))
+    return rows.select(*[value.alias(name) for name, value in columns.items()], F.lit(1).cast("bigint").alias("n"))
 
 
 def _sum(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -119,8 +118,13 @@ def _connected(parts: list) -> list[list]:
 
 
 def _join_group(group: list, printed: set[str]) -> DataFrame:
+    """Join the relations of a group; variables that nothing needs any more are summed away first."""
     current, bound = None, set()
     for i, (names, relation) in enumerate(group):
+        later = {v for part in group[i + 1:] for v in part[0]}
+        spelled = [f"s_{v}" for v in sorted(printed)]
+        needed = spelled + [f"v_{v}" for v in sorted(names) if v in later or v in bound]
+        relation = _sum(relation, [c for c in relation.columns if c in needed])
         if current is None:
             current = relation
         else:
@@ -128,8 +132,7 @@ def _join_group(group: list, printed: set[str]) -> DataFrame:
             current = current.join(relation.withColumnRenamed("n", "m"), keys)
             current = current.withColumn("n", F.col("n") * F.col("m")).drop("m")
         bound |= names
-        later = {v for part in group[i + 1:] for v in part[0]}
-        keep = [f"s_{v}" for v in sorted(printed)] + [f"v_{v}" for v in sorted(later & bound)]
+        keep = spelled + [f"v_{v}" for v in sorted(later & bound)]
         current = _sum(current, [c for c in current.columns if c in keep])
     return current
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import RECALL_STOPWORDS, contains_ci
 from knotwork.functions.vectors import similarity_score
-from knotwork.operators.loop import keep_first
+from knotwork.operators.loop import cut, keep_first
 from knotwork.operators.nearest import cosine_of, nearest, unit
 from knotwork.operators.ranking import top_k
 
@@ -102,10 +105,8 @@ def ranked_search(catalogue: DataFrame, task: str, domain: str | None = None, li
     """BM25 over descriptions of rows with confidence above one half or none; a domain match adds 0.2.
 
     ``catalogue``: name, description, confidence, domain. Term counts are taken in one pass, as the
-    terms of a task are few; the collection figures are one aggregate row.
+    terms of a task are few; the driver reads one row with the collection figures.
     """
-    import re
-
     terms = sorted(set(re.findall(r"[a-z0-9]+", task.lower())))
     if not terms:
         return catalogue.select("name", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank")).limit(0)
@@ -114,16 +115,16 @@ def ranked_search(catalogue: DataFrame, task: str, domain: str | None = None, li
     rows = rows.select("name", "domain", F.size("w").alias("length"), *[
         _occurrences("w", t).alias(f"t{i}") for i, t in enumerate(terms)
     ])
-    totals = rows.agg(F.struct(
+    rows = cut(rows)
+    figures = rows.agg(
         F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for i in range(len(terms))]
-    )).scalar()
+    ).first()
     score = F.lit(0.0)
-    rows = rows.withColumn("c", totals)
     for i in range(len(terms)):
-        tf, df = F.col(f"t{i}"), F.col(f"c.d{i}")
-        idf = F.ln(F.lit(1.0) + (F.col("c.n") - df + 0.5) / (df + 0.5))
-        weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / F.col("c.mean")))
-        score = score + F.when(tf > 0, idf * weight).otherwise(0.0)
+        tf, df = F.col(f"t{i}"), figures[f"d{i}"]
+        idf = math.log(1.0 + (figures["n"] - df + 0.5) / (df + 0.5))
+        weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / (figures["mean"] or 1.0)))
+        score = score + F.when(tf > 0, F.lit(idf) * weight).otherwise(0.0)
     hits = rows.select("name", "domain", score.alias("text_score")).filter(F.col("text_score") > 0)
     boost = F.when(F.col("domain") == domain, DOMAIN_BOOST).otherwise(0.0) if domain is not None else F.lit(0.0)
     hits = hits.select("name", (F.col("text_score") + boost).alias("score"))

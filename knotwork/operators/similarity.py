@@ -58,8 +58,9 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     """All pairs u < v with Jaccard at or above the threshold, without trying all pairs.
 
     Neighbours are ordered from rare to common. Two sets that are similar enough share one of the
-    first ``n - ceil(t n) + 1`` of each, so only those are joined; size and position bounds drop
-    more before the exact count. With a threshold of 0 or less every pair would qualify.
+    first ``n - ceil(t n) + 1`` of each, so only those heads are joined. What they can share
+    beyond their heads is at most the longer tail, so most pairs drop out by their head count
+    before the exact count. With a threshold of 0 or less every pair would qualify.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -68,17 +69,15 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     sizes = _sizes(near)
     common = near.groupBy("b").agg(F.count("*").alias("f"))
     ranked = number_rows(near.join(common, "b"), ["a"], ["f", "b"], "pos").join(sizes, "a")
-    head = cut(ranked.filter(F.col("pos") <= F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1).select("a", "b", "pos", "n"))
-    u = head.select(F.col("a").alias("u"), "b", F.col("pos").alias("pu"), F.col("n").alias("nu"))
-    v = head.select(F.col("a").alias("v"), "b", F.col("pos").alias("pv"), F.col("n").alias("nv"))
+    kept = F.least(F.col("n"), F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
+    head = cut(ranked.filter(F.col("pos") <= kept).select("a", "b", "n", (F.col("n") - kept).alias("tail")))
+    u = head.select(F.col("a").alias("u"), "b", F.col("n").alias("nu"), F.col("tail").alias("tu"))
+    v = head.select(F.col("a").alias("v"), "b", F.col("n").alias("nv"), F.col("tail").alias("tv"))
+    met = u.join(v, "b").filter(
+        (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9)
+    ).groupBy("u", "v", "nu", "nv", "tu", "tv").agg(F.count("*").alias("c"))
     need = t / (t + 1) * (F.col("nu") + F.col("nv")) - 1e-9
-    left = 1 + F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv"))
-    # The position bound holds at the first shared neighbour, so a pair survives through that one.
-    pairs = cut(
-        u.join(v, "b").filter(
-            (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9) & (left >= need)
-        ).select("u", "v").distinct()
-    )
+    pairs = cut(met.filter(F.col("c") + F.greatest("tu", "tv") >= need).select("u", "v"))
     return _score(pairs, near).filter(F.col("score") >= t)
 
 
