@@ -299,13 +299,13 @@ def fact_review(g):
     return review_facts(stored_facts(g), g.rules, reviews(g))[0].select("id", "review_status")
 
 
-@query("R12_rule_weight", """
-SELECT 'domiciled-in' AS id, round(avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END), 6) AS weight FROM customer WHERE c_acctbal > -500""")
+@query("R12_rule_weight", kg_sql("""
+SELECT id, round(CASE WHEN id = 'domiciled-in' THEN (SELECT avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) FROM customer WHERE c_acctbal > -500)
+  ELSE weight END, 6) AS weight FROM rules"""))
 def rule_weight(g):
     from knotwork.operators.review import review_facts
 
-    rules = review_facts(stored_facts(g), g.rules, reviews(g))[1]
-    return rules.filter(F.col("id") == "domiciled-in").select("id", F.round("weight", 6).alias("weight"))
+    return review_facts(stored_facts(g), g.rules, reviews(g))[1].select("id", F.round("weight", 6).alias("weight"))
 
 
 # Analysis of facts.

@@ -838,10 +838,10 @@ def supersession(g):
 
 
 @query("J7_relationship_history", f"""
-WITH {BITEMPORAL} SELECT source, target, valid_at, invalid_at IS NULL AS current FROM history WHERE source = 'user-1'""")
+WITH {BITEMPORAL} SELECT source, target, valid_at, invalid_at IS NULL AS current FROM history""")
 def relationship_history(g):
-    edges = temporal.upsert_edges(g.assertions.filter(F.col("source") == "user-1"))
-    return temporal.relationship_history(edges, "user-1", "last action").select(
+    edges = temporal.upsert_edges(g.assertions)
+    return temporal.relationship_history(edges, type_="last action").select(
         "source", "target", "valid_at", F.col("invalid_at").isNull().alias("current")
     )
 
