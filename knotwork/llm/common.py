@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from knotwork.session import ensure_checkpoint_dir
 
@@ -58,9 +59,7 @@ def map_texts(df: DataFrame, carry: list[str], compute: Callable[[list], dict],
     """
     kept = df.select(*[F.col(f"`{c}`") for c in carry], F.col(text).alias("_text"))
     made = df.sparkSession.createDataFrame([], schema).schema
-    out = kept.select(*carry).schema
-    for field in made:
-        out = out.add(field)
+    out = StructType([*kept.schema[: len(carry)], *made])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     types = to_arrow_schema(made)
