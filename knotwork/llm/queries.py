@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import packing, simhash
+from knotwork.llm import packing, quality, simhash
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -37,3 +37,11 @@ def tokenizer_path() -> str:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rated = quality.rate(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return rated.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
