@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import packing, quality, simhash
+from knotwork.llm import mixing, packing, quality, simhash
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -45,3 +45,31 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return rated.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
+
+
+@query("op4_mixing", """
+WITH sized AS (
+    SELECT doc_id, source, text, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size
+    FROM documents),
+sources AS (SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k),
+weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY k) - 1) % 3 + 1]::DOUBLE AS w FROM sources),
+level AS (
+    SELECT min((1.5 * whole - below) / above) AS level FROM (
+        SELECT (SELECT sum(source_size) FROM weighed) AS whole,
+            coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below,
+            sum(w) OVER (ORDER BY 2 * source_size / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+            2 * source_size / w AS point
+        FROM weighed)
+    WHERE (1.5 * whole - below) / above < point),
+aimed AS (SELECT k, source_size, least(2.0 * source_size, w * level)::DOUBLE AS target FROM weighed, level),
+placed AS (
+    SELECT s.*, a.source_size, a.target, floor(a.target)::BIGINT AS take,
+        (sum(size) OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start
+    FROM sized s JOIN aimed a USING (k))
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 3) AS target,
+    CASE WHEN size = 0 THEN 0 ELSE take // source_size * size + greatest(least(take % source_size - start, size), 0) END::BIGINT AS taken
+FROM placed""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, folder, "documents"), ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
