@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import mixing, packing, quality, simhash
+from knotwork.llm import mixing, packing, pii, quality, simhash
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -55,7 +55,7 @@ WITH sized AS (
 sources AS (SELECT k, sum(size)::BIGINT AS source_size FROM sized GROUP BY k),
 weighed AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY k) - 1) % 3 + 1]::DOUBLE AS w FROM sources),
 level AS (
-    SELECT min((1.5 * whole - below) / above) AS level FROM (
+    SELECT arg_min((1.5 * whole - below) / above, point) AS level FROM (
         SELECT (SELECT sum(source_size) FROM weighed) AS whole,
             coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below,
             sum(w) OVER (ORDER BY 2 * source_size / w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
@@ -73,3 +73,8 @@ FROM placed""")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), ["doc_id"])
     return mixed.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
