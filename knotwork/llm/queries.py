@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import mixing, packing, pii, quality, simhash
+from knotwork.llm import mixing, packing, pii, quality, simhash, vectors
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_pii")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find(table(spark, folder, "documents"))
+
+
+@query("op9_embeddings")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
