@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import mixing, packing, pii, quality, simhash, vectors
+from knotwork.llm import licenses, mixing, packing, pii, quality, simhash, spans, vectors
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -83,3 +83,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_embeddings")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op7_spans")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.without_repeats(table(spark, folder, "documents"))
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """``docs`` as files: source, language and thousand as directories; one that opens with a notice is a licence file."""
+    notice = F.coalesce(F.col("text").rlike(r"(?i)^[^\n]*licen[sc]e"), F.lit(False))
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("unnumbered"))
+    folder = [F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.expr("doc_id div 1000").cast("string"), F.lit("unnumbered"))]
+    return docs.select("doc_id", F.concat_ws("/", *folder, F.when(notice, F.concat(F.lit("LICENSE-"), doc)).otherwise(F.concat(doc, F.lit(".txt")))).alias("path"), "text")
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(document_files(table(spark, folder, "documents")), ["doc_id"])
