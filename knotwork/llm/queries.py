@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import licenses, mixing, packing, pii, quality, simhash, spans, vectors
+from knotwork.llm import licenses, mixing, packing, pages, pii, quality, repeats, simhash, spans, vectors
 from knotwork.llm.common import table
 
 QUERIES: dict = {}
@@ -101,3 +101,14 @@ def document_files(docs: DataFrame) -> DataFrame:
 @query("op1_licenses")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(document_files(table(spark, folder, "documents")), ["doc_id"])
+
+
+@query("op8_pages")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op5_repeats")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, folder, "documents"))
