@@ -152,17 +152,17 @@ def deduplicate(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
 
     Rows without a doc_id stay only where their group has none; of equal rows one stays.
     """
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = stored(fingerprinted(docs.withColumn("_digest", digest), ["doc_id", "_digest"], words))
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names).withColumn("_digest", F.xxhash64(*names))
+    plain = plain.withColumns({c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text")})
+    marked = stored(fingerprinted(plain, ["doc_id", "_digest"], words))
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_digest")
     nodes = stored(marked.groupBy("fingerprint").agg(F.min(row).alias("first")))
     groups = components(links(nodes, bits)).withColumnRenamed("id", "fingerprint")
     placed = nodes.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     keep = placed.groupBy("component").agg(F.min("first").alias("first")).select(
-        F.col("first.doc_id").alias("_id"), F.col("first._digest").alias("_digest")
+        F.col("first.doc_id").alias("_id"), F.col("first._digest").alias("_first")
     )
     # Equal rows share id and digest; one of them is taken by an aggregate, not by a window over the group.
-    same = docs.withColumn("_digest", digest)
-    kept = same.join(keep, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (same["_digest"] == keep["_digest"]), "left_semi")
-    return kept.drop("_digest").dropDuplicates()
-
+    kept = plain.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_first")), "left_semi")
+    return kept.select(*names).dropDuplicates().toDF(*docs.columns)

@@ -1,7 +1,7 @@
 """Removal of repeated sentence spans.
 
-Every run of consecutive sentences is hashed (the fewest sentences from each start that are two at least and hold
-twelve words). Hashes that occur more than once are found by one aggregate over all documents; the first occurrence,
+Every run of consecutive sentences is hashed (the fewest sentences from each start, and to each end, that are two at
+least and hold twelve words). Hashes that occur more than once are found by one aggregate over all documents; the first occurrence,
 by doc_id, text hash and place, stays, and the sentences of all others go.
 """
 
@@ -37,16 +37,28 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
     plain = [text[a:b].split() for a, b in sentences(text)]
     counts = [len(p) for p in plain]
     joined = [" ".join(p) for p in plain]
-    out, end, words = [], 0, 0
+    found, end, words = set(), 0, 0
     for start in range(len(plain)):
         while end < len(plain) and (end - start < SENTENCES or words < WORDS):
             words += counts[end]
             end += 1
         if end - start < SENTENCES or words < WORDS:
             break
+        found.add((start, end))
+        words -= counts[start]
+    start, words = len(plain), 0
+    for end in range(len(plain), 0, -1):
+        while start > 0 and (end - start < SENTENCES or words < WORDS):
+            start -= 1
+            words += counts[start]
+        if end - start < SENTENCES or words < WORDS:
+            break
+        found.add((start, end))
+        words -= counts[end - 1]
+    out = []
+    for start, end in sorted(found):
         both = xxhash.xxh3_128_intdigest("\n".join(joined[start:end]).encode("utf-8", "surrogatepass"))
         out.append((_signed(both >> 64), _signed(both & (1 << 64) - 1), start, end - start))
-        words -= counts[start]
     return out
 
 
