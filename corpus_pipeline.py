@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least doc_id. Shingles have five words."""
-    return simhash.deduplicate(docs, words=5)
+    """One document of each group stays, the one of the least doc_id. Shingles have five words, similarity is 0.8."""
+    return simhash.deduplicate(docs, words=5, least=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

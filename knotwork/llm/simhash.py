@@ -9,10 +9,12 @@ a segment pair, the other side all neighbours' codewords, so no link is missed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -26,6 +28,10 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 BLOCK = 1 << 14
+#: Small fingerprints of a text, and the least shingle hashes that estimate the similarity of two texts.
+PARTS, LEAST = 12, 128
+#: Texts of a block of a large bucket of candidates.
+CANDIDATES = 2048
 
 
 @lru_cache(maxsize=1)
@@ -49,22 +55,60 @@ def decoder() -> np.ndarray:
     return ((words ^ by_syndrome[remainder(words)]) >> 11).astype(np.int16)
 
 
-def text_fingerprint(text: str | None, words: int = 3) -> int:
-    """Signed 64-bit SimHash of word shingles; 0 for a text without words."""
+def _shingle_hashes(text: str | None, words: int) -> Iterator[list[int]]:
+    """XXH64 of the word shingles of a text, repeats included, in blocks."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
-    hashed = xxhash.xxh64_intdigest
-    runs = zip(*(parts[i:] for i in range(words))) if len(parts) >= words else [parts]
-    ones, total, block = np.zeros(64, dtype=np.int64), 0, []
-    join = b" ".join
-    for run in runs:
+        return
+    hashed, join, block = xxhash.xxh64_intdigest, b" ".join, []
+    for run in zip(*(parts[i:] for i in range(words))) if len(parts) >= words else [parts]:
         block.append(hashed(join(run), 42))
         if len(block) == BLOCK:
-            ones, total, block = ones + _bit_counts(block), total + BLOCK, []
+            yield block
+            block = []
     if block:
+        yield block
+
+
+def text_fingerprint(text: str | None, words: int = 3) -> int:
+    """Signed 64-bit SimHash of word shingles; 0 for a text without words."""
+    ones, total = np.zeros(64, dtype=np.int64), 0
+    for block in _shingle_hashes(text, words):
         ones, total = ones + _bit_counts(block), total + len(block)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
+    return _fingerprint(ones, total)
+
+
+def _fingerprint(ones: np.ndarray, total: int) -> int:
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0]) if total else 0
+
+
+def sketch(text: str | None, words: int = 5) -> tuple[int, list[int], list[int]]:
+    """(fingerprint, the ``LEAST`` least shingle hashes in order, one Golay key for each of ``PARTS`` small fingerprints).
+
+    A small fingerprint is the SimHash of the three shingles that come first in one of ``PARTS`` orders of all
+    shingles; its key are the codewords of its segments. Texts of one shingle or two have it of what they have.
+    """
+    blocks = list(_shingle_hashes(text, words))
+    if not blocks:
+        return 0, [], []
+    ones = sum(_bit_counts(b) for b in blocks)
+    total = sum(map(len, blocks))
+    values = np.unique(np.concatenate([np.array(b, dtype=np.uint64) for b in blocks]))
+    few = min(3, len(values))
+    ordered = values * _orders()[:, None]
+    ordered ^= ordered >> np.uint64(31)
+    first = np.argpartition(ordered, few - 1, axis=1)[:, :few]
+    bits = np.unpackbits(values[first].astype("<u8").view(np.uint8).reshape(PARTS, few, 8), axis=2, bitorder="little")
+    small = np.packbits(2 * bits.sum(axis=1, dtype=np.int64) > few, axis=1, bitorder="little").view("<u8").ravel()
+    nearest, keys = decoder(), np.arange(PARTS, dtype=np.int64)
+    for shift, width in SEGMENTS:
+        keys = (keys << 12) | nearest[((small >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)]
+    return _fingerprint(ones, total), values[:LEAST].view(np.int64).tolist(), keys.tolist()
+
+
+@lru_cache(maxsize=1)
+def _orders() -> np.ndarray:
+    return np.random.RandomState(7_919).randint(1, 1 << 62, PARTS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _bit_counts(hashes: list[int]) -> np.ndarray:
@@ -147,19 +191,89 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets by their least hashes: exact while both together have no more than those."""
+    union = np.union1d(a, b)[:LEAST]
+    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+
+
+def _similar(group: pa.Table, least: float) -> pa.Table:
+    """A forest over the texts of some buckets whose links have the similarity; linked texts are not compared again."""
+    group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    key, i, j, node = (group.column(c).to_numpy() for c in ("key", "i", "j", "fingerprint"))
+    sets = [np.array(x, dtype=np.int64).view(np.uint64) for x in group.column("least").to_pylist()]
+    new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(node)]]).tolist()
+    left, right, known = [], [], {}
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        parts: list[list[int]] = []
+        for at in range(lo, hi):
+            hit, rest = [], []
+            for part in parts:
+                other = next((o for o in part if _linked(known, node, sets, at, o, least)), None)
+                if other is None:
+                    rest.append(part)
+                else:
+                    hit.append(part)
+                    left.append(int(node[at]))
+                    right.append(int(node[other]))
+            parts = [*rest, [at, *(o for part in hit for o in part)]]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _linked(known: dict, node, sets, x: int, y: int, least: float) -> bool:
+    pair = (int(node[x]), int(node[y])) if node[x] < node[y] else (int(node[y]), int(node[x]))
+    if pair not in known:
+        known[pair] = similarity(sets[x], sets[y]) >= least
+    return known[pair]
+
+
+def similar_links(nodes: DataFrame, least: float, block: int = CANDIDATES) -> DataFrame:
+    """(a, b): links that connect what texts of ``least`` similarity connect, from ``nodes`` (fingerprint, least, keys).
+
+    Texts that share the key of a small fingerprint are candidates. Buckets are compared block against block.
+    """
+    rows = nodes.select("fingerprint", F.explode("keys").alias("key"))
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    bins = int((sizes.agg(F.sum("m")).first()[0] or 0) // (2 * block)) + 1
+    dealt = rows.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("fingerprint", "key", "blocks", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
+        "fingerprint", "key", "blocks", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j")
+    )
+    alone = (F.col("blocks") > 1).cast("bigint")
+    pairs = pairs.withColumn("alone", alone).withColumn(
+        "bin", F.when(F.col("alone") == 1, F.xxhash64("key", "i", "j")).otherwise(F.pmod(F.xxhash64("key"), F.lit(bins)))
+    )
+    full = pairs.drop("blocks").join(nodes.select("fingerprint", "least"), "fingerprint")
+    return full.groupBy("alone", "bin").applyInArrow(lambda g: _similar(g, least), "a bigint, b bigint").distinct()
+
+
+def deduplicate(docs: DataFrame, words: int = 5, bits: int = 3, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row of the least doc_id; among rows of equal doc_id the least row digest.
 
-    Rows without a doc_id stay only where their group has none; of equal rows one stays.
+    Texts are linked if their fingerprints differ in ``bits`` or fewer, or their shingle sets have ``least``
+    similarity: whole fingerprints of such sets mostly differ in more bits than Golay keys can bridge, so the second
+    kind is sought by fingerprints of few shingles each. Texts without words are one group. Rows without a doc_id stay
+    only where their group has none; of equal rows one stays.
     """
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("_digest", F.xxhash64(*names))
     plain = plain.withColumns({c: F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text")})
-    marked = stored(fingerprinted(plain, ["doc_id", "_digest"], words))
+
+    def compute(texts: list) -> dict:
+        found = [sketch(t, words) for t in texts]
+        return {"fingerprint": [f[0] for f in found], "least": [f[1] for f in found], "keys": [f[2] for f in found]}
+
+    marked = map_texts(plain, ["doc_id", "_digest"], compute, "fingerprint bigint, least array<bigint>, keys array<bigint>")
     row = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "_digest")
-    nodes = stored(marked.groupBy("fingerprint").agg(F.min(row).alias("first")))
-    groups = components(links(nodes, bits)).withColumnRenamed("id", "fingerprint")
-    placed = nodes.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    nodes = stored(
+        marked.groupBy("fingerprint").agg(F.min(row).alias("first"), F.min_by(F.struct("least", "keys"), row).alias("kept"))
+        .select("fingerprint", "first", "kept.least", "kept.keys")
+    )
+    found = links(nodes.select("fingerprint"), bits).unionByName(similar_links(nodes, least))
+    groups = components(found).withColumnRenamed("id", "fingerprint")
+    placed = nodes.select("fingerprint", "first").join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     keep = placed.groupBy("component").agg(F.min("first").alias("first")).select(
         F.col("first.doc_id").alias("_id"), F.col("first._digest").alias("_first")
     )
