@@ -16,7 +16,6 @@ RECALL_STOPWORDS = [
     "has", "the", "this", "that", "said", "conversation",
 ]
 LABEL_OVERLAP = 0.6
-FILING_CHARS = 8000
 NARRATIVE_MARKER = "item 1."
 
 
@@ -64,15 +63,14 @@ def strip_html(html) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def skip_to_narrative(text, marker: str = NARRATIVE_MARKER, max_chars: int | None = FILING_CHARS) -> Column:
-    """From the second marker, else the first, else the whole text; cut only if ``max_chars`` is set."""
+def skip_to_narrative(text, marker: str = NARRATIVE_MARKER) -> Column:
+    """From the second marker, else the first, else the whole text."""
     text = _c(text)
     lowered = F.lower(text)
     first = F.locate(marker, lowered, 1)
     second = F.call_function("locate", F.lit(marker), lowered, first + F.lit(1))
     start = F.when(first == 0, F.lit(1)).when(second > 0, second).otherwise(first)
-    out = F.substr(text, start)
-    return F.substring(out, 1, max_chars) if max_chars is not None else out
+    return F.substr(text, start)
 
 
 def fill_template(template, source, target) -> Column:

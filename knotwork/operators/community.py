@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.operators.components import number_components
@@ -30,13 +32,17 @@ def modularity(arcs: DataFrame, assigned: DataFrame, resolution: float = 1.0) ->
     return 0.0 if not got["t"] else got["i"] / got["t"] - resolution * got["tt"] / (got["t"] * got["t"])
 
 
-def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float, max_rounds: int):
-    """Rounds in which half of the nodes may move to the neighbour community with the best gain."""
+def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float):
+    """Rounds in which half of the nodes may move to the neighbour community with the best gain.
+
+    Two rounds in turn free complementary halves. Ends after three idle rounds, among which every node had its chance;
+    any other round raises modularity, so the end is reached.
+    """
     degree = cut(arcs.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("k")))
     m2 = degree.agg(F.sum("k").alias("s")).first()["s"] or 0.0
     best = modularity(arcs, assigned, resolution)
     moved_any, idle = False, 0
-    for turn in range(max_rounds):
+    for turn in itertools.count():
         if not m2:
             break
         state = degree.join(assigned, "id")
@@ -52,7 +58,7 @@ def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float, max_ro
         pick = options.groupBy("id", "community").agg(
             F.max_by(F.struct("to", gain.alias("g")), F.struct(gain.alias("g"), F.col("to"))).alias("top"), here
         )
-        free = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
+        free = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
         go = free & (F.col("top.g") > F.col("here") + 1e-12)
         moved, seen = cut_counting(
             pick.select("id", F.when(go, F.col("top.to")).otherwise(F.col("community")).alias("community"), go.alias("go")),
@@ -60,13 +66,13 @@ def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float, max_ro
         )
         if seen["n"] == 0:
             idle += 1
-            if idle > 1:
+            if idle > 2:
                 break
             continue
         quality = modularity(arcs, moved, resolution)
         if quality <= best + 1e-9:
             idle += 1
-            if idle > 1:
+            if idle > 2:
                 break
             continue
         idle, best, moved_any = 0, quality, True
@@ -74,15 +80,15 @@ def _local_moves(arcs: DataFrame, assigned: DataFrame, resolution: float, max_ro
     return assigned, moved_any
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, max_rounds: int = 20, max_levels: int = 10) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """(id, community): local moves and contraction until modularity rests; numbered by least member id."""
     arcs = cut(undirected(edges))
     linked = arcs.select(F.col("a").alias("id")).distinct()
     member = cut(linked.select("id", F.col("id").alias("group")))
     level = arcs
-    for _ in range(max_levels):
+    while True:
         start = cut(level.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")))
-        assigned, moved = _local_moves(level, start, resolution, max_rounds)
+        assigned, moved = _local_moves(level, start, resolution)
         if not moved:
             break
         step = assigned.select(F.col("id").alias("group"), "community")

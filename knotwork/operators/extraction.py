@@ -59,7 +59,7 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
     from the same document, in any case; they take the extracted spelling. Confidence is 1 if absent.
     """
     parsed = cut(payloads.select(
-        "doc_id", F.substring("payload", 1, 120).alias("head"), F.try_parse_json("payload").isNull().alias("bad"),
+        "doc_id", F.col("payload").alias("head"), F.try_parse_json("payload").isNull().alias("bad"),
         F.from_json("payload", EXTRACTION).alias("p"),
     ))
     bad = parsed.filter("bad").select("doc_id", F.concat(F.lit("Could not parse response as JSON: "), "head").alias("reason"))

@@ -75,8 +75,13 @@ def _atom_variables(atom: Atom) -> list[str]:
     return list(dict.fromkeys(t.text for t in (atom.subject, atom.object) if t.variable))
 
 
-def _relation(triples: DataFrame, atom: Atom, equal: bool, spelled: bool) -> DataFrame:
-    """Bindings of one atom: ``v_<name>`` lower-case keys, ``s_<name>`` spellings, ``n`` rows.
+def _numbers(atoms: list[Atom]) -> dict[str, int]:
+    """Variables by number: X and x are two variables, but column names know no case."""
+    return {name: i for i, name in enumerate(dict.fromkeys(v for atom in atoms for v in _atom_variables(atom)))}
+
+
+def _relation(triples: DataFrame, atom: Atom, equal: bool, spelled: bool, number: dict[str, int]) -> DataFrame:
+    """Bindings of one atom: ``v_<number>`` lower-case keys, ``s_<number>`` spellings, ``n`` rows.
 
     An atom p(V, V) asks for equal parts only if V was bound before; else V takes the object.
     """
@@ -85,9 +90,9 @@ def _relation(triples: DataFrame, atom: Atom, equal: bool, spelled: bool) -> Dat
         rows = rows.filter(F.lower("subject") == F.lower("object"))
     values = {}
     if atom.subject.variable:
-        values[atom.subject.text] = F.col("subject")
+        values[number[atom.subject.text]] = F.col("subject")
     if atom.object.variable and not equal:
-        values[atom.object.text] = F.col("object")
+        values[number[atom.object.text]] = F.col("object")
     columns = {f"v_{name}": F.lower(value) for name, value in values.items()}
     if spelled:
         columns |= {f"s_{name}": value for name, value in values.items()}
@@ -117,7 +122,7 @@ def _connected(parts: list) -> list[list]:
     return groups
 
 
-def _join_group(group: list, printed: set[str]) -> DataFrame:
+def _join_group(group: list, printed: set[int]) -> DataFrame:
     """Join the relations of a group; variables that nothing needs any more are summed away first."""
     current, bound = None, set()
     for i, (names, relation) in enumerate(group):
@@ -139,11 +144,11 @@ def _join_group(group: list, printed: set[str]) -> DataFrame:
 
 def bindings(triples: DataFrame, atoms: list[Atom]) -> DataFrame:
     """Distinct spellings of the first atom's variables with their multiplicity ``n``."""
-    parts, bound = [], set()
+    parts, bound, number = [], set(), _numbers(atoms)
     for i, atom in enumerate(atoms):
-        names = {t.text for t in (atom.subject, atom.object) if t.variable}
+        names = {number[t.text] for t in (atom.subject, atom.object) if t.variable}
         same = atom.subject.variable and atom.object.variable and atom.subject.text == atom.object.text
-        parts.append((names, _relation(triples, atom, same and atom.subject.text in bound, i == 0)))
+        parts.append((names, _relation(triples, atom, same and number[atom.subject.text] in bound, i == 0, number)))
         bound |= names
     groups = _connected(parts)
     current = _join_group(groups[0], parts[0][0])
@@ -159,11 +164,11 @@ def query_join(triples: DataFrame, atoms: list[Atom], expand: bool = True) -> Da
     With ``expand=False`` each distinct row comes once with the column ``bindings``.
     """
     first = atoms[0]
-    found = bindings(triples, atoms)
+    found, number = bindings(triples, atoms), _numbers(atoms)
 
     def printed(term: Term):
         if term.variable:
-            return F.col(f"s_{term.text}")
+            return F.col(f"s_{number[term.text]}")
         return F.lit(term.text if term.quoted else "")
 
     rows = found.select(printed(first.subject).alias("subject"), printed(first.object).alias("object"), F.col("n").alias("bindings"))

@@ -26,6 +26,10 @@ class EmptyGraphError(ValueError):
     """The graph has no entities to reason over."""
 
 
+class NotConvergedError(RuntimeError):
+    """A loop reached its round bound before it came to rest."""
+
+
 class UnknownSourceError(ValueError):
     """The source is not an entity of the graph."""
 
@@ -87,8 +91,11 @@ def seed_source(activation: DataFrame | None, source: DataFrame) -> DataFrame:
 
 
 def spread_activation(nodes, edges, source, decay: float = DECAY, seed: DataFrame | None = None) -> DataFrame:
-    """Spread from one source over a seed of stored activation."""
-    return spread(spread_links(nodes, edges), seed_source(seed, source), decay)[0]
+    """Spread from one source over a seed of stored activation; raises if the spread does not come to rest."""
+    found, rests = spread(spread_links(nodes, edges), seed_source(seed, source), decay)
+    if not rests:
+        raise NotConvergedError(f"activation still spreads after {MAX_SPREAD_ROUNDS} rounds")
+    return found
 
 
 def evaluations(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Ontology | None = None, check_domain: bool = True) -> DataFrame:
@@ -104,7 +111,7 @@ def evaluations(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Onto
     combo = ["edge_type", "source_type", "target_type"]
     combos = rows.select(*combo).distinct()
     want = rules.select(
-        F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.col("ord").cast("int").alias("rule_ord"), "edge_type",
+        F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.col("ord").cast("bigint").alias("rule_ord"), "edge_type",
         F.col("source_type").alias("rule_source"), F.col("target_type").alias("rule_target"), "threshold",
         F.col("weight").alias("rule_weight"), "description",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from knotwork.functions.text import RECALL_STOPWORDS, contains_ci
 from knotwork.functions.vectors import similarity_score
@@ -64,10 +64,12 @@ def hybrid_recall(messages, summaries, text: str, entity_hits: DataFrame, messag
     return merge_hits([ordered, entity_hits.withColumn("kind", F.lit("entity_summary")), message_hits.withColumn("kind", F.lit("chat_message"))], limit)
 
 
-def recall_terms(question: str) -> list[str]:
-    """Search terms of a question: longer than three characters and no stop word; else the question."""
-    words = [w.strip("?.,!\"'") for w in question.split()]
-    return [w for w in words if len(w) > 3 and w.lower() not in RECALL_STOPWORDS] or [question]
+def recall_terms(question: Column) -> Column:
+    """Array of the search terms of a question: its words of four letters or more that are no stop words, without
+    marks around them; the whole question where none is left."""
+    bare = F.transform(F.split(F.trim(question), r"\s+"), lambda w: F.btrim(w, F.lit("?.,!\"'")))
+    telling = F.filter(bare, lambda w: (F.length(w) >= 4) & ~F.lower(w).isin(*sorted(RECALL_STOPWORDS)))
+    return F.when(F.size(telling) > 0, telling).otherwise(F.array(question))
 
 
 def question_recall(messages: DataFrame, summaries: DataFrame, question: str, limit: int = LIMIT) -> DataFrame:
@@ -75,12 +77,12 @@ def question_recall(messages: DataFrame, summaries: DataFrame, question: str, li
 
     All terms are looked for in one pass.
     """
-    terms = recall_terms(question)
-    found = F.array_compact(F.array(*[F.when(contains_ci("text", t), F.lit(i)) for i, t in enumerate(terms)]))
+    terms = recall_terms(F.lit(question))
+    found = F.array_compact(F.transform(terms, lambda t, i: F.when(contains_ci("text", t), i)))
     rows = _search_rows(messages, summaries).withColumn("term", F.explode(found))
     each = top_k(rows, ["term", "source"], [F.desc("seq"), F.asc("id")], limit, "pos")
     per_term = top_k(each, ["term"], [F.asc("source"), F.asc("pos")], limit, "place")
-    share = per_term.agg(F.count_distinct("term") / F.lit(len(terms))).scalar()
+    share = per_term.agg(F.count_distinct("term") / F.size(terms)).scalar()
     first = keep_first(per_term.select("id", "kind", "term", "place"), ["id"], ["term", "place"])
     cut_to = top_k(first.withColumn("_all", F.lit(0)), ["_all"], [F.asc("term"), F.asc("place")], limit, "rank").drop("_all")
     return cut_to.select("rank", "id", "kind").withColumn("confidence", share)
@@ -88,12 +90,11 @@ def question_recall(messages: DataFrame, summaries: DataFrame, question: str, li
 
 def overlap_ranking(catalogue: DataFrame, task: str, limit: int = 5) -> DataFrame:
     """Catalogue rows by shared words over the number of task words; rows without overlap are dropped."""
-    words = sorted({w for w in task.lower().split() if len(w) > 2})
-    if not words:
-        return catalogue.select("name", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank")).limit(0)
-    described = F.transform(F.split(F.trim(F.lower("description")), r"\s+"), lambda w: F.btrim(w, F.lit(".,()")))
-    shared = F.size(F.array_intersect(described, F.array(*[F.lit(w) for w in words])))
-    hits = catalogue.select("name", (shared / F.lit(len(words))).alias("score")).filter(F.col("score") > 0)
+    tokens = lambda text: F.split(F.trim(F.lower(text)), r"\s+")
+    sought = F.array_distinct(F.filter(tokens(F.lit(task)), lambda w: F.length(w) >= 3))
+    described = F.transform(tokens(F.col("description")), lambda w: F.btrim(w, F.lit(".,()")))
+    score = F.when(F.size(sought) > 0, F.size(F.array_intersect(described, sought)) / F.size(sought))
+    hits = catalogue.select("name", score.alias("score")).filter(F.col("score") > 0)
     return top_k(hits.withColumn("_all", F.lit(0)), ["_all"], [F.desc("score"), F.asc("name")], limit).drop("_all")
 
 

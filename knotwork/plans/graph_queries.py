@@ -223,9 +223,10 @@ def full_run(g):
 ROUNDS = 4
 
 
-@query("R6_reasoning_loop", loop_sql(ROUNDS, f"SELECT id, round(activation, 6) AS activation FROM act{ROUNDS}"))
+@query("R6_reasoning_loop", loop_sql(ROUNDS, f"SELECT id, round(activation, 6) AS activation, 'fixpoint' AS converged_by FROM act{ROUNDS}"))
 def reasoning_loop(g):
-    return full_run(g).activation.withColumn("activation", F.round("activation", 6))
+    run = full_run(g)
+    return run.activation.select("id", F.round("activation", 6).alias("activation"), F.lit(run.converged_by).alias("converged_by"))
 
 
 @query("R11_reasoning_facts", loop_sql(ROUNDS, f"""
@@ -538,14 +539,15 @@ def shortest_path(g):
 
 
 @query("G10_all_pairs_distances", kg_sql("""
-SELECT src, count(*) AS reachable, round(sum(d), 3) AS total, round(max(d), 6) AS farthest FROM (SELECT src, id, min(d) AS d FROM (
+SELECT src, count(*) AS reachable, CAST(sum(CAST(round(d * 1000000) AS BIGINT)) AS BIGINT) AS total, round(max(d), 6) AS farthest FROM (SELECT src, id, min(d) AS d FROM (
   SELECT id AS src, id, CAST(0.0 AS DOUBLE) AS d FROM entities UNION ALL SELECT source, target, d FROM w1 UNION ALL SELECT src, id, d FROM w2 UNION ALL SELECT src, id, d FROM w3) GROUP BY 1, 2) GROUP BY 1""", """
 w1 AS MATERIALIZED (SELECT source, target, min(weight) AS d FROM edges GROUP BY 1, 2),
 w2 AS MATERIALIZED (SELECT a.source AS src, b.target AS id, min(a.d + b.d) AS d FROM w1 a JOIN w1 b ON b.source = a.target GROUP BY 1, 2),
 w3 AS MATERIALIZED (SELECT a.src, b.target AS id, min(a.d + b.d) AS d FROM w2 a JOIN w1 b ON b.source = a.id GROUP BY 1, 2)"""))
 def all_pairs_distances(g):
     rows = paths.all_pairs_distances(g.entities, project(g.edges))
-    return rows.groupBy("src").agg(F.count("*").alias("reachable"), F.round(F.sum("distance"), 3).alias("total"), F.round(F.max("distance"), 6).alias("farthest"))
+    millionths = F.sum(F.round(F.col("distance") * 1_000_000).cast("bigint")).alias("total")
+    return rows.groupBy("src").agg(F.count("*").alias("reachable"), millionths, F.round(F.max("distance"), 6).alias("farthest"))
 
 
 def bfs_sql(levels: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import text
 from knotwork.operators import counting, filters, mining, ontology, pattern, review, temporal
 from knotwork.operators.loop import cut, keep_first, keep_last
-from knotwork.operators.ranking import top_k
+from knotwork.operators.ranking import number_rows
 from knotwork.plans.registry import query
 from knotwork.plans.tpch_graph import GRAPH, KG_SQL, kg_sql, onto_sql
 from knotwork.session import ensure_checkpoint_dir
@@ -167,15 +167,19 @@ def mined_rule_rows(g):
 SELECT 'r-' || edge_type || '-' || source_type || '-' || target_type AS id, edge_type, source_type, target_type,
        CAST(0.3 AS DOUBLE) AS threshold,
        CASE WHEN support > 100 THEN round(confidence, 6) ELSE 1.0 END AS weight,
-       CASE WHEN support > 100 THEN '{source} x {target}' ELSE '{source} -> {target}' END AS description
+       CASE WHEN support > 100 THEN '{source} x {target}' ELSE '{source} -> {target}' END AS description,
+       row_number() OVER (ORDER BY 'r-' || edge_type || '-' || source_type || '-' || target_type) - 1 AS ord
 FROM confidence""", SUPPORT))
 def rule_file(g):
     import uuid
 
     path = f"{ensure_checkpoint_dir(g.spark)}/rules-{uuid.uuid4().hex}"
-    mined_rule_rows(g).write.json(path)
-    return src.load_rules(g.spark, path, multi_line=False).select(
-        "id", "edge_type", "source_type", "target_type", "threshold", "weight", "description"
+    # One array in rule order; the rules are as many as there are triples of types.
+    rows = mined_rule_rows(g)
+    array = rows.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in rows.columns if c != "id"]))).alias("rules"))
+    array.select(F.to_json("rules").alias("value")).write.text(path)
+    return src.load_rules(g.spark, path).select(
+        "id", "edge_type", "source_type", "target_type", "threshold", "weight", "description", "ord"
     )
 
 
@@ -544,10 +548,20 @@ def pattern_bindings(g):
 
 @query("J6_node_provenance", kg_sql("""
 SELECT entity_id, event_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY o_orderdate DESC, event_id) AS BIGINT) AS rank
-FROM links l JOIN entities e ON e.id = l.entity_id JOIN orders o ON 'evt-' || o_orderkey = l.event_id QUALIFY rank <= 5""", LINKS))
+FROM links l JOIN entities e ON e.id = l.entity_id JOIN orders o ON 'evt-' || o_orderkey = l.event_id""", LINKS))
 def node_provenance(g):
     links = src.record_ingest(ingest_events(g), produced(g), g.entities)
-    return src.newest_provenance(links, ingest_events(g), 5).select("entity_id", "event_id", "rank")
+    return src.newest_provenance(links, ingest_events(g)).select("entity_id", "event_id", "rank")
+
+
+@query("J6_event_entities", kg_sql("""
+SELECT event_id, count(*) AS entities, min(entity_id) AS first_entity, max(entity_id) AS last_entity
+FROM links l JOIN entities e ON e.id = l.entity_id JOIN orders o ON 'evt-' || o_orderkey = l.event_id GROUP BY 1""", LINKS))
+def event_entities(g):
+    links = src.record_ingest(ingest_events(g), produced(g), g.entities)
+    return src.event_entities(links).groupBy("event_id").agg(
+        F.count("*").alias("entities"), F.min("entity_id").alias("first_entity"), F.max("entity_id").alias("last_entity")
+    )
 
 
 @query("A15_ingest_totals", f"""
@@ -849,7 +863,7 @@ def relationship_history(g):
 @query("B3_timeline", f"WITH {BITEMPORAL} SELECT source, target, valid_at, CAST(row_number() OVER (PARTITION BY source ORDER BY valid_at NULLS FIRST, target) AS BIGINT) AS pos FROM history")
 def timeline(g):
     edges = temporal.upsert_edges(g.assertions)
-    return top_k(edges, ["source"], [F.asc_nulls_first("valid_at"), F.asc("target")], 1000, "pos").select("source", "target", "valid_at", "pos")
+    return number_rows(edges, ["source"], ["valid_at", "target"], "pos").select("source", "target", "valid_at", "pos")
 
 
 @query("B3_current_state", f"WITH {BITEMPORAL} SELECT source, target, valid_at FROM history WHERE invalid_at IS NULL")

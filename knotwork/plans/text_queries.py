@@ -32,7 +32,7 @@ s AS (SELECT *, CASE WHEN first > 0 THEN strpos(substr(lower(text), first + 1),
 SELECT page_id, CASE WHEN first = 0 THEN text WHEN gap > 0 THEN substr(text, first + gap) ELSE substr(text, first) END AS text FROM s""")
 def skip_to_narrative(g):
     rows = g.table("pages").select("page_id", text.strip_html("html").alias("t"))
-    return rows.select("page_id", text.skip_to_narrative("t", "the", max_chars=None).alias("text"))
+    return rows.select("page_id", text.skip_to_narrative("t", "the").alias("text"))
 
 
 @query("X2_tokens", f"SELECT doc_id, CAST(len({TOKENS.format('text')}) AS BIGINT) AS n_tokens, list_aggregate(list_sort({TOKENS.format('text')}), 'string_agg', ' ') AS tokens FROM documents")

@@ -52,11 +52,10 @@ class TpchGraph:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-
-    _schemas: dict = {}
+        self._schemas: dict = {}
 
     def table(self, name: str) -> DataFrame:
-        """A given table. Its schema is read from the files once and given to later reads."""
+        """A given table. Its schema is read from the files once for this graph and given to later reads."""
         path = f"{self.folder}/{name}.parquet"
         known = self._schemas.get(path)
         out = self.spark.read.schema(known).parquet(path) if known is not None else self.spark.read.parquet(path)

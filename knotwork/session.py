@@ -26,12 +26,14 @@ def local_session(app: str = "knotwork", cores: int | str = 8, memory: str = "12
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode where none is set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(named)

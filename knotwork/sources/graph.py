@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.operators.loop import keep_first
-from knotwork.operators.ranking import top_k
+from knotwork.operators.ranking import number_rows
 
 
 def scan_nodes(entities: DataFrame, graph_id: str) -> DataFrame:
@@ -65,19 +65,24 @@ def triples(entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFram
 
 
 def load_rules(spark, path: str, multi_line: bool = True) -> DataFrame:
-    """Rules of a JSON file, an array or one object per line; a missing file raises."""
-    raw = (
-        spark.read.schema(
-            "id string, name string, edge_type string, source_type string, target_type string, "
-            "threshold double, weight double, description string"
-        ).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
+    """Rules of a JSON file, an array or one object per line; a missing file raises.
+
+    ``ord`` numbers the rules from 0 in the order of the file names and of the places in a file. An array is parsed
+    whole; of a file with one object per line, a place is the partition and the row that Spark reads it in.
+    """
+    kind = (
+        "id string, name string, edge_type string, source_type string, target_type string, "
+        "threshold double, weight double, description string"
     )
-    return raw.withColumns(
-        {
-            "weight": F.coalesce("weight", F.lit(1.0)),
-            "description": F.coalesce("description", F.lit("{source} -> {target}")),
-            "ord": F.monotonically_increasing_id(),
-        }
+    if multi_line:
+        whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), "value")
+        parsed = F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ': ', 1) for c in kind.split(', '))}>>", {"mode": "FAILFAST"})
+        raw = whole.select("_file", F.posexplode(parsed).alias("_at", "r")).select("_file", F.col("_at").cast("bigint").alias("_at"), "r.*")
+    else:
+        read = spark.read.schema(kind).option("mode", "FAILFAST").json(path)
+        raw = read.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    return number_rows(raw, [], ["_file", "_at"], "ord", start=0).drop("_file", "_at").withColumns(
+        {"weight": F.coalesce("weight", F.lit(1.0)), "description": F.coalesce("description", F.lit("{source} -> {target}"))}
     )
 
 
@@ -90,7 +95,7 @@ def merge_rules(seed: DataFrame, custom: DataFrame) -> DataFrame:
     last_seed = seed.agg(F.coalesce(F.max("ord"), F.lit(0))).scalar()
     return both.select(
         "id", *[F.col(f"r.{b}").alias(b) for b in body],
-        F.coalesce(F.col("s_ord"), F.col("c_ord") + last_seed).cast("int").alias("ord"),
+        F.coalesce(F.col("s_ord"), F.col("c_ord") + last_seed).cast("bigint").alias("ord"),
     )
 
 
@@ -142,8 +147,14 @@ def node_provenance(links: DataFrame, events: DataFrame) -> DataFrame:
     return links.join(events.withColumnRenamed("id", "event_id"), "event_id")
 
 
-def newest_provenance(links: DataFrame, events: DataFrame, k: int) -> DataFrame:
-    return top_k(node_provenance(links, events), ["entity_id"], [F.desc("created_at"), F.asc("event_id")], k)
+def newest_provenance(links: DataFrame, events: DataFrame) -> DataFrame:
+    """All events behind each entity, numbered from the newest."""
+    return number_rows(node_provenance(links, events), ["entity_id"], [F.desc("created_at"), F.asc("event_id")], "rank")
+
+
+def event_entities(links: DataFrame) -> DataFrame:
+    """The reverse: entities that each event produced."""
+    return links.select("event_id", "entity_id").distinct()
 
 
 def graph_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,10 +11,13 @@ from knotwork.operators.loop import keep_last
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = "graph_id") -> None:
-    """Write a table as Parquet. ``path`` must not be one the frame reads from."""
+    """Write a table as Parquet. ``path`` must not be one the frame reads from.
+
+    With ``partition_by`` only the graphs that ``df`` holds are replaced, others stay.
+    """
     writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
+        writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 

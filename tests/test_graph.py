@@ -210,3 +210,51 @@ def test_rule_coverage(spark, make):
     fired = spark.createDataFrame([("r1",), ("r1",), ("r1",), ("r2",), ("ghost",)], "rule_id string")
     got = {r["rule_id"]: (r["fires"], r["never_fired"], r["under_activated"]) for r in facts.rule_coverage(rules, fired).collect()}
     assert got == {"r1": (3, False, False), "r2": (1, False, True), "r3": (0, True, False)}
+
+
+def test_variables_that_differ_in_case_only(spark):
+    from knotwork.operators import pattern
+
+    rows = [("a", "p", "b"), ("b", "p", "b"), ("b", "q", "c"), ("c", "q", "a")]
+    triples = spark.createDataFrame([(*r, False, 1.0, i) for i, r in enumerate(rows)], "subject string, predicate string, object string, derived boolean, confidence double, ord bigint")
+    atoms, _ = pattern.read_atoms("p(X, x), q(x, Y)")
+    got = sorted((r["subject"], r["object"]) for r in pattern.query_join(triples, atoms).collect())
+    assert got == [("a", "b"), ("b", "b")]
+    atoms, _ = pattern.read_atoms("p(X, Y), q(Y, x), q(x, X)")
+    assert [(r["subject"], r["object"]) for r in pattern.query_join(triples, atoms).collect()] == [("a", "b")]
+
+
+def test_writing_one_graph_keeps_the_others(spark, tmp_path):
+    from knotwork.sources.sinks import write_table
+
+    def table(graph, *ids):
+        return spark.createDataFrame([(graph, i) for i in ids], "graph_id string, id string")
+
+    path = str(tmp_path / "nodes")
+    write_table(table("g1", "a", "b").union(table("g2", "c")), path)
+    write_table(table("g1", "z"), path)
+    assert sorted((r["graph_id"], r["id"]) for r in spark.read.parquet(path).collect()) == [("g1", "z"), ("g2", "c")]
+
+
+def test_rules_keep_their_order_over_files(spark, tmp_path):
+    import json
+
+    from knotwork.sources.graph import load_rules, merge_rules
+
+    rule = lambda i: {"id": f"r{i}", "name": "n", "edge_type": "E", "source_type": "A", "target_type": "B", "threshold": 0.1}
+    for part in range(3):
+        (tmp_path / f"{part}.json").write_text(json.dumps([rule(10 * part + i) for i in (2, 1, 0)]))
+    rules = load_rules(spark, str(tmp_path))
+    got = [r["id"] for r in rules.orderBy("ord").collect()]
+    assert got == [f"r{10 * part + i}" for part in range(3) for i in (2, 1, 0)]
+    assert merge_rules(rules, rules.filter("id = 'r11'")).count() == 9
+
+
+def test_pagerank_says_when_it_does_not_rest(make):
+    import pytest as pt
+
+    from knotwork.operators import centrality
+
+    nodes, edges = make.nodes([("a", "T"), ("b", "T"), ("c", "T")]), make.edges([("a", "b"), ("b", "c"), ("c", "b")])
+    with pt.raises(centrality.NotConvergedError):
+        centrality.pagerank(nodes, edges, max_rounds=1)
