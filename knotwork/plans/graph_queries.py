@@ -358,7 +358,15 @@ def rule_coverage(g):
     return fact_ops.rule_coverage(g.rules, stored_facts(g).select("rule_id").union(buys).union(ghosts))
 
 
-@query("C3_circular_facts")
+@query("C3_circular_facts", "WITH RECURSIVE " + TRADE + """,
+buy AS (SELECT id, s, t FROM trade WHERE id LIKE 'buy|%'), back AS (SELECT id, s, t FROM trade WHERE id LIKE 'return|%'),
+hop AS MATERIALIZED (SELECT DISTINCT back.s AS a, buy.t AS b FROM back JOIN buy ON buy.s = back.t),
+reach(a, b) AS (SELECT a, b FROM hop UNION SELECT reach.a, hop.b FROM reach JOIN hop ON hop.a = reach.b),
+near AS MATERIALIZED (SELECT a, b FROM reach UNION SELECT s, s FROM back UNION SELECT t, t FROM buy),
+to_buyer AS (SELECT DISTINCT near.a, back.t FROM near JOIN back ON back.s = near.b),
+to_seller AS (SELECT DISTINCT buy.s AS a, near.b FROM near JOIN buy ON buy.t = near.a)
+SELECT id FROM buy JOIN to_buyer r ON r.a = buy.t AND r.t = buy.s
+UNION ALL SELECT id FROM back JOIN to_seller r ON r.a = back.t AND r.b = back.s""")
 def circular_facts(g):
     return fact_ops.circular_facts(trade_facts(g))
 
