@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from knotwork.functions.text import tokens
 from knotwork.operators.filters import _known_flag
 from knotwork.operators.loop import cut, keep_first
-from knotwork.operators.ranking import top_k
+from knotwork.operators.ranking import number_rows, top_k
 from knotwork.schema import EXTRACTION, HEURISTIC
 from knotwork.sources.ontology import Ontology
 
@@ -188,23 +188,31 @@ def ungrounded_claims(replies: DataFrame) -> DataFrame:
     return rows.filter(novel).select("id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-def latest_summaries(contexts: DataFrame, n: int = 5) -> DataFrame:
-    """Summary per entity from its last n contexts ``(entity_id, ord, text)``, oldest first."""
-    last = top_k(contexts, ["entity_id"], [F.desc("ord")], n, "_r")
-    return last.groupBy("entity_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("summary")
+def context_blocks(contexts: DataFrame, n: int = 20) -> DataFrame:
+    """(entity_id, block, context): all contexts ``(entity_id, ord, text)`` of an entity, oldest first, n to a block."""
+    placed = number_rows(contexts, ["entity_id"], ["ord", "text"], "_pos", start=0)
+    rows = F.array_sort(F.collect_list(F.struct("_pos", "text")))
+    return placed.groupBy("entity_id", F.expr(f"_pos div {n}").alias("block")).agg(
+        F.array_join(F.transform(rows, lambda x: x["text"]), " ").alias("context")
     )
 
 
 def summarise_with(contexts: DataFrame, existing: DataFrame, model: Callable[[str, str], str], n: int = 20) -> DataFrame:
-    """New summary per entity: a caller's function of the stored summary and the last n new contexts."""
-    fresh = latest_summaries(contexts, n).withColumnRenamed("summary", "context")
-    rows = fresh.join(existing.select("entity_id", F.col("summary").alias("old")), "entity_id", "left").select(
-        "entity_id", F.coalesce("old", F.lit("")).alias("old"), "context"
-    )
+    """New summary per entity: a caller's function of the summary so far and the next n contexts, until all are in.
+
+    A round folds one block of every entity that has so many.
+    """
+    blocks = cut(context_blocks(contexts, n))
+    rounds = blocks.agg(F.coalesce(F.max("block"), F.lit(-1)).alias("b")).first()["b"] + 1
+    state = blocks.select("entity_id").distinct().join(existing.select("entity_id", "summary"), "entity_id", "left")
+    state = state.select("entity_id", F.coalesce("summary", F.lit("")).alias("summary"))
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"entity_id": pdf["entity_id"], "summary": [model(o, c).strip() for o, c in zip(pdf["old"], pdf["context"])]})
+            new = [o if c is None else model(o, c).strip() for o, c in zip(pdf["summary"], pdf["context"])]
+            yield pd.DataFrame({"entity_id": pdf["entity_id"], "summary": new})
 
-    return rows.mapInPandas(run, "entity_id string, summary string")
+    for b in range(rounds):
+        step = blocks.filter(F.col("block") == b).select("entity_id", "context")
+        state = cut(state.join(step, "entity_id", "left").mapInPandas(run, "entity_id string, summary string"))
+    return state

@@ -238,10 +238,10 @@ def streamed_maintenance(g):
 
 
 @query("X7_latest_summaries", """
-SELECT CAST(conv_id AS VARCHAR) AS entity_id, string_agg(text, ' ' ORDER BY turn) AS summary FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3 GROUP BY 1""")
+SELECT CAST(conv_id AS VARCHAR) AS entity_id, CAST((r - 1) // 3 AS BIGINT) AS block, string_agg(text, ' ' ORDER BY r) AS context FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations) GROUP BY 1, 2""")
 def latest_summaries(g):
-    return extraction.latest_summaries(g.table("conversations").select(F.col("conv_id").cast("string").alias("entity_id"), F.col("turn").alias("ord"), "text"), 3)
+    return extraction.context_blocks(g.table("conversations").select(F.col("conv_id").cast("string").alias("entity_id"), F.col("turn").alias("ord"), "text"), 3)
 
 
 def heuristic_payloads(g):

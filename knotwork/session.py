@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
+    if not named and sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

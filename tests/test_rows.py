@@ -161,7 +161,7 @@ def test_model_seams(spark):
     contexts = spark.createDataFrame([("e", i, f"s{i}") for i in range(5)], "entity_id string, ord int, text string")
     old = spark.createDataFrame([("e", "old")], "entity_id string, summary string")
     got = extraction.summarise_with(contexts, old, lambda o, c: f" {o}|{c} ", n=2).first()
-    assert got["summary"] == "old|s3 s4"
+    assert got["summary"] == "old|s0 s1|s2 s3|s4"
 
 
 def test_nearest_brute(spark):
