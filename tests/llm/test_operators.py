@@ -112,6 +112,30 @@ def test_near_duplicates(spark, docs, texts, empty, clashing):
     assert simhash.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [2048, 4])
+def test_similar_texts(spark, block, monkeypatch):
+    rng = random.Random(29)
+    made = []
+    for _ in range(25):
+        base = words(rng, 60).split()
+        made.append(" ".join(base))
+        for edits in (1, 1, 2, 4, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            made.append(" ".join(copy))
+    shingles = [frozenset(tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in made]
+    label = list(range(len(made)))
+    bits = [simhash.text_fingerprint(t, 5) & (1 << 64) - 1 for t in made]
+    for a, b in itertools.combinations(range(len(made)), 2):
+        if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]) or (bits[a] ^ bits[b]).bit_count() <= 3:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if x == old else x for x in label]
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (block,))
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(label))
+
+
 def test_packing(spark, docs, texts, empty, clashing):
     from tokenizers import Tokenizer
 
@@ -203,11 +227,6 @@ def test_schedule_is_even(spark):
         assert all(abs(seen[k] - i * v / 1450) < 8 for k, v in want.items())
 
 
-def edit(text, rng):
-    parts = text.encode()
-    return parts[: rng.randrange(len(parts))].decode("utf-8", "ignore")
-
-
 @pytest.mark.parametrize("limit", [50_000, 2])
 def test_repeats(spark, docs, texts, empty, clashing, limit):
     length, gram = 40, 12
@@ -494,3 +513,27 @@ def test_forest_is_monotonic_and_learns():
         assert (np.diff(forest.score(grid)) <= 1e-12).all()
     one = quality.fit(x[:200], np.ones(200), directions=[0, 0, 0])
     assert len(one.score(x[:0])) == 0
+
+
+def test_pipeline(spark, tmp_path, docs, texts):
+    """Every stage gives the columns of documents, but the last, and takes effect on what came before."""
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, rows, str(tmp_path)).write.parquet(str(tmp_path / name))
+        rows = spark.read.parquet(str(tmp_path / name))
+        seen[name] = rows.collect()
+        if name != "pack_sequences":
+            assert rows.columns == docs.columns
+    ids = [r["doc_id"] for r in seen["near_duplicates"]]
+    assert len(ids) == len(set(ids)) and 40 not in ids and 45 not in [r["doc_id"] for r in seen["quality_rules"]]
+    assert {r["doc_id"] for r in seen["personal_data"]} == set(ids)
+    mixed = collections.Counter(r["doc_id"] for r in seen["mix_sources"])
+    assert set(mixed) <= set(ids) and max(mixed.values()) == 2
+    assert {r["doc_id"] for r in seen["pack_sequences"]} == set(mixed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pack_sequences"])
