@@ -6,14 +6,11 @@ stage's docs. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from knotwork.llm import mixing, packing, pii, quality, simhash
-from knotwork.llm.common import table
+from knotwork.llm.common import stored, table
 from knotwork.llm.queries import tokenizer_path
-from knotwork.session import ensure_checkpoint_dir
 
 #: The trees and the mix cannot be stated in SQL together; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -55,11 +52,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what a stage returns is written to the shared checkpoint folder."""
+    """All stages on ``documents``; what a stage returns is written to the shared checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for number, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
     return docs
