@@ -241,7 +241,10 @@ def reason(
     nodes, edges, rules, source: DataFrame, onto: Ontology | None = None, decay: float = DECAY, epsilon: float = EPSILON,
     max_iterations: int = MAX_ITERATIONS, feedback_gain: float = FEEDBACK_GAIN, check_domain: bool = True,
 ) -> Reasoning:
-    """Spread, infer and feed back until nothing new is derived and activation rests."""
+    """Spread, infer and feed back until nothing new is derived and activation rests.
+
+    ``converged_by`` says how it ended: at a fixpoint, at the round bound, or with a spread that did not come to rest.
+    """
     links = spread_links(nodes, edges)
     evals = evaluations(nodes, edges, rules, onto, check_domain)
     activation, facts, traces = None, None, []
@@ -266,7 +269,7 @@ def reason(
         if not fresh and seen["delta"] < epsilon:
             converged_by = "fixpoint"
             break
-    return Reasoning(activation, facts, iteration, converged_by, spread_ok, traces)
+    return Reasoning(activation, facts, iteration, converged_by if spread_ok else "unfinished spread", spread_ok, traces)
 
 
 def default_source(nodes: DataFrame) -> DataFrame:
