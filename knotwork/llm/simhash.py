@@ -191,43 +191,64 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets by their least hashes: exact while both together have no more than those."""
-    union = np.union1d(a, b)[:LEAST]
-    return len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True)) / len(union)
+def _table(sets: list) -> tuple[np.ndarray, np.ndarray]:
+    """Least hashes as rows of equal length, padded with the greatest number, and their counts."""
+    rows = np.full((len(sets), LEAST), _PAD, dtype=np.uint64)
+    for row, values in zip(rows, sets):
+        row[: len(values)] = np.array(values, dtype=np.int64).view(np.uint64)
+    return rows, np.array([len(x) for x in sets])
+
+
+_PAD = np.uint64((1 << 64) - 1)
+
+
+def similarity(one: np.ndarray, rows: np.ndarray, count: int, counts: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of a shingle set to others by their least hashes: exact while both together have no more than ``LEAST``."""
+    both = np.sort(np.concatenate([np.broadcast_to(one, rows.shape), rows], axis=1), axis=1)
+    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)
+    place = np.arange(twice.shape[1]) - (np.cumsum(twice, axis=1) - twice)  # among unlike values
+    shared = (twice & (place < LEAST)).sum(axis=1)
+    return shared / np.minimum(LEAST, count + counts - twice.sum(axis=1))
 
 
 def _similar(group: pa.Table, least: float) -> pa.Table:
-    """A forest over the texts of some buckets whose links have the similarity; linked texts are not compared again."""
+    """(a, b): a star over the texts of each bucket that links of the similarity connect; connected texts are not compared again."""
     group = group.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
     key, i, j, node = (group.column(c).to_numpy() for c in ("key", "i", "j", "fingerprint"))
-    sets = [np.array(x, dtype=np.int64).view(np.uint64) for x in group.column("least").to_pylist()]
+    rows, counts = _table(group.column("least").to_pylist())
     new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
     edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(node)]]).tolist()
-    left, right, known = [], [], {}
+    left, right = [], []
+
+    def partner(at: int, part: list[int]) -> int | None:
+        # Texts that others were linked to stand in front: an original is met before its copies.
+        for first, last in ((0, 4), (4, len(part))):
+            some = part[first:last]
+            if some:
+                hits = np.flatnonzero(similarity(rows[at], rows[some], counts[at], counts[some]) >= least)
+                if len(hits):
+                    return first + int(hits[0])
+        return None
+
     for lo, hi in zip(edges[:-1], edges[1:]):
         parts: list[list[int]] = []
         for at in range(lo, hi):
             hit, rest = [], []
             for part in parts:
-                other = next((o for o in part if _linked(known, node, sets, at, o, least)), None)
-                if other is None:
+                place = partner(at, part)
+                if place is None:
                     rest.append(part)
-                else:
-                    hit.append(part)
-                    left.append(int(node[at]))
-                    right.append(int(node[other]))
-            parts = [*rest, [at, *(o for part in hit for o in part)]]
+                    continue
+                other = part.pop(place)
+                hit.append([other, *part])
+            parts = [*rest, [*(o for part in hit for o in part), at]]
+        for part in parts:  # as a star: what is linked is the same, and components come to rest sooner
+            names = sorted(set(node[part].tolist()))
+            left.extend(names[1:])
+            right.extend(names[:1] * (len(names) - 1))
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def _linked(known: dict, node, sets, x: int, y: int, least: float) -> bool:
-    pair = (int(node[x]), int(node[y])) if node[x] < node[y] else (int(node[y]), int(node[x]))
-    if pair not in known:
-        known[pair] = similarity(sets[x], sets[y]) >= least
-    return known[pair]
-
-
 def similar_links(nodes: DataFrame, least: float, block: int = CANDIDATES) -> DataFrame:
     """(a, b): links that connect what texts of ``least`` similarity connect, from ``nodes`` (fingerprint, least, keys).
 
