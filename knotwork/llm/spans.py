@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from knotwork.llm.common import map_texts, stored
+from knotwork.llm.common import map_texts, settled, stored
 
 SENTENCES, WORDS = 2, 12
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
@@ -78,10 +78,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     each = found.select("doc_id", "digest", F.inline("runs"))
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "a")
     again = each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
-    later = each.join(stored(again), ["h", "l"]).filter(place != F.col("first"))
-    return later.select("doc_id", "digest", "a", "n").distinct().groupBy("doc_id", "digest").agg(
-        F.collect_list(F.struct("a", "n")).alias("cuts")
-    )
+    later = each.join(settled(again), ["h", "l"]).filter(place != F.col("first"))
+    found = later.select("doc_id", "digest", "a", "n").distinct().groupBy("doc_id", "digest")
+    return settled(found.agg(F.collect_list(F.struct("a", "n")).alias("cuts")))
 
 
 def _kept(text: str, cuts: list) -> tuple[str, int, int]:
