@@ -1,9 +1,11 @@
 """Personal data, and the terms that give it away, as DataFrame operations only.
 
 Base patterns find e-mail addresses, IP numbers, card numbers and phone numbers with their positions. Each value found
-is a protected entity. From the words near its occurrences the corpus tells how much a term reveals of an entity: the
-pointwise mutual information of the two, over the information content of the entity. At 1 a term occurs with that
-entity only. Terms above the thresholds are generalised or removed wherever they occur in the corpus.
+is a protected entity; so are the local part and the domain of an e-mail address, which join addresses that occur once.
+From the words near its occurrences the corpus tells how much a term reveals of an entity: the pointwise mutual
+information of the two, over the information content of the entity. At 1 a term occurs with that entity only. A term
+counts if chance would not bring the two together as often, however few their occurrences are. Terms above the
+thresholds are generalised or removed wherever they occur in the corpus.
 
 A pattern's gaps and matches come as two arrays per text; they are exploded, and positions are running sums over the
 matches of a text, so that a text with very many matches is no different from others.
@@ -11,6 +13,8 @@ matches of a text, so that a text with very many matches is no different from ot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from knotwork.llm.common import stored
@@ -27,8 +31,8 @@ KINDS = {
 TERM = r"\p{L}{3,}"
 #: Words on each side of an entity that are its context, and the characters they are sought in.
 NEAR, REACH = 8, 200
-#: Independent contexts that a term must share with an entity.
-SUPPORT = 3
+#: Pairs of a term and an entity that chance may bring, in all pairs of the corpus together.
+CHANCE = 0.5
 #: Share of an entity's information from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -64,7 +68,7 @@ def _order(kind: str = "kind") -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(_key, kind, start, end, value, before, after): the valid base matches; before and after are the text around, REACH characters at most."""
+    """(_key, kind, start, end, value): the valid base matches."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = []
     for kind, (pattern, sign) in KINDS.items():
@@ -72,54 +76,88 @@ def base_spans(docs: DataFrame) -> DataFrame:
         some = docs.filter(text.rlike(sign)).select(row_key().alias("_key"), F.lit(kind).alias("kind"), zipped.alias("_all"))
         found.append(some.filter(F.size("_all") > 1).select("_key", "kind", F.posexplode("_all").alias("at", "one")))
     rows = found[0].union(found[1]).union(found[2]).union(found[3]).select(
-        "_key", "kind", "at", F.length("one.gap").alias("skip"), F.coalesce(F.length("one.match"), F.lit(0)).alias("long"), F.col("one.match").alias("value"),
-        F.substring("one.gap", 1, REACH).alias("head"), F.right("one.gap", F.lit(REACH)).alias("tail"),
+        "_key", "kind", "at", F.length("one.gap").alias("skip"), F.coalesce(F.length("one.match"), F.lit(0)).alias("long"), F.col("one.match").alias("value")
     )
     rows = rows.dropDuplicates(["_key", "kind", "at"])
     line = W.partitionBy("_key", "kind").orderBy("at")
     end = F.sum(F.col("skip") + F.col("long")).over(line)
-    cut = lambda c, p: F.when(F.length(c) == REACH, F.regexp_replace(c, p, "")).otherwise(F.col(c))
-    placed = rows.withColumn("end", end).withColumn("after", F.lead(cut("head", r"\p{L}+$")).over(line)).filter("value IS NOT NULL")
-    return placed.filter(_valid(F.col("kind"), F.col("value"))).select(
-        "_key", "kind", (F.col("end") - F.col("long")).alias("start"), "end", "value", cut("tail", r"^\p{L}+").alias("before"), "after"
+    placed = rows.withColumn("end", end).filter("value IS NOT NULL")
+    return placed.filter(_valid(F.col("kind"), F.col("value"))).select("_key", "kind", (F.col("end") - F.col("long")).alias("start"), "end", "value")
+
+
+def contexts(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(_key, kind, value, _near): the unlike words of the text around each match, ``NEAR`` on each side; parts of other addresses are none."""
+    texts = docs.select(row_key().alias("_key"), "text").dropDuplicates(["_key"])
+    rows = spans.join(texts, "_key")
+    first = F.greatest(F.col("start") - REACH, F.lit(0))
+    before = F.substring("text", (first + 1).cast("int"), (F.col("start") - first).cast("int"))
+    after = F.substring("text", (F.col("end") + 1).cast("int"), F.lit(REACH))
+    rows = rows.select(
+        "_key", "kind", "value", F.when(first > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before).alias("before"),
+        F.when(F.length(after) == REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after).alias("after"),
     )
+    words = lambda c: F.regexp_extract_all(F.lower(F.regexp_replace(c, KINDS["email"][0], " ")), F.lit(TERM), F.lit(0))
+    left = F.slice(F.reverse(words("before")), 1, NEAR)
+    return rows.select("_key", "kind", "value", F.array_distinct(F.concat(left, F.slice(words("after"), 1, NEAR))).alias("_near"))
+
 
+def _entities() -> Column:
+    """What a match protects, with the words that it spells itself: the value, and the local part and the domain of an address."""
+    value = F.lower("value")
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    bare = F.when(F.col("kind").isin("card", "phone"), _digits(value)).otherwise(value)
+    spelt = F.regexp_extract_all(local, F.lit(TERM), F.lit(0))
+    none = F.array().cast("array<string>")
+    one = lambda name, v, s: F.struct(F.concat_ws(":", name, v).alias("entity"), s.alias("spelt"))
+    own = one(F.col("kind"), bare, F.when(F.col("kind") == "email", spelt).otherwise(none))
+    return F.when(F.col("kind") == "email", F.array(own, one(F.lit("local"), local, spelt), one(F.lit("domain"), domain, none))).otherwise(F.array(own))
 
-def revealing_terms(docs: DataFrame, spans: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+
+def revealing_terms(docs: DataFrame, spans: DataFrame, chance: float = CHANCE, generalise: float = GENERALISE) -> DataFrame:
     """(term, share): terms and the greatest share of an entity's information that each reveals, from ``generalise`` on.
 
-    A context is known by the least hash of its words without the term, so copies of a passage, exact or near, count as
-    one; a term needs ``support`` contexts, and one for every two documents it shares with the entity.
+    A document has one context of an entity and a term, known by the two least hashes of its words without the term.
+    The contexts of a pair count as their effective number, (sum c)^2 / sum c^2 over documents of equal context, so
+    copies of a passage, exact or near, are about one. The first context proposes the pair and those beyond it speak
+    for it; so does the entity that spells the term itself (a name in an address). The bound m^k / k! of their Poisson
+    tail, with k! by Stirling from below, times all pairs that could be spoken for, is what chance brings.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(TERM), F.lit(0))
-    left = F.slice(F.reverse(words("before")), 1, NEAR)
-    near = F.array_distinct(F.concat(left, F.slice(words("after"), 1, NEAR)))
-    seen = spans.select("_key", F.concat_ws(":", "kind", F.lower("value")).alias("entity"), near.alias("_near"))
-    terms = seen.select("_key", "entity", "_near", F.explode("_near").alias("term"))
-    context = F.array_min(F.transform(F.array_remove("_near", F.col("term")), lambda w: F.xxhash64(w)))
-    terms = stored(terms.select("_key", "entity", "term", F.coalesce(context, F.lit(0)).alias("context")))
-    contexts = terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    often = stored(contexts.filter(F.col("contexts") >= support))
-    shared = terms.join(often, ["entity", "term"]).select("entity", "term", "contexts", "_key").distinct()
-    shared = shared.groupBy("entity", "term", "contexts").agg(F.count("*").alias("n_both")).filter("2 * contexts >= n_both")
+    seen = contexts(docs, spans).select("_key", F.explode(_entities()).alias("_e"), "_near").select("_key", "_e.*", "_near")
+    terms = seen.select("_key", "entity", "spelt", "_near", F.explode("_near").alias("term"))
+    hashes = F.array_sort(F.transform(F.array_remove("_near", F.col("term")), lambda w: F.xxhash64(w)))
+    each = terms.groupBy("entity", "term", "_key").agg(
+        F.min(F.concat_ws(":", F.slice(hashes, 1, 2).cast("array<string>"))).alias("context"), F.max(F.array_contains("spelt", F.col("term"))).alias("spells")
+    )
+    alike = each.groupBy("entity", "term", "context").agg(F.count("*").alias("c"), F.max("spells").alias("spells"))
+    pairs = alike.groupBy("entity", "term").agg(
+        F.sum("c").alias("n_both"), (F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("contexts"), F.max("spells").alias("spells")
+    )
     of_entity = seen.select("entity", "_key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = stored(pairs.join(of_entity, "entity").filter("n_entity > 1 OR spells"))
+    tried = F.lit(float(max(1, pairs.count())))
+    candidates = pairs.withColumn("more", F.col("contexts") - 1 + F.col("spells").cast("int")).filter("more > 0")
     keys = docs.select(row_key().alias("_key"), "text").dropDuplicates(["_key"])
-    candidates = stored(shared)
+    sums = keys.agg(F.count("*").alias("n"), F.sum(F.size(_words())).alias("words")).first()
+    n = F.lit(float(sums["n"]))
     of_term = occurring(keys, candidates.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(docs.select(row_key().alias("_key")).distinct().count()))
+    further = F.col("n_entity") - 1 + F.col("spells").cast("int")
+    expected = further * F.col("n_term") * F.lit(2.0 * NEAR / max(1, sums["words"] or 0))
+    tail = F.col("more") * (1 + F.log(expected) - F.log("more")) - F.log(2 * math.pi * F.col("more")) / 2
     information = F.log(n / F.col("n_entity"))
     mutual = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     share = F.when(information > 0, mutual / information)
-    return (
-        candidates.join(of_entity, "entity").join(of_term, "term").groupBy("term").agg(F.max(share).alias("share"))
-        .filter(F.col("share") >= generalise)
-    )
+    rated = candidates.join(of_term, "term").filter((F.col("more") > expected) & (tail + F.log(tried) < math.log(chance)))
+    return rated.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= generalise)
+
+
+def _words() -> Column:
+    """The unlike words of ``text``."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
 
 
 def occurring(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(_key, term): the ``terms`` that occur as words in each of ``texts`` (_key, text)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    return texts.select("_key", F.explode(words).alias("term")).join(stored(terms), "term")
+    return texts.select("_key", F.explode(_words()).alias("term")).join(stored(terms), "term")
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, remove: float = REMOVE) -> DataFrame:

@@ -324,6 +324,27 @@ def test_pii_terms(spark, empty, clashing):
     assert same.columns == clashing.columns and same.count() == clashing.count()
 
 
+def test_pii_terms_of_rare_values(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(400)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    told = [
+        f"{words(20)} Quixwald wrote from quixwald.7@corp.example {words(20)}",  # once, the address spells the name
+        *(f"{words(20)} Hrothgar {words(2)} +44 20 7946 0999 {words(20)}" for _ in range(2)),  # a value that occurs twice
+        *(f"{words(20)} Vexmoor {k}x{i}@vexmoor.example {words(20)}" for i, k in enumerate("abcde")),  # unlike addresses of one domain
+        f"{words(20)} Brandolf 4111111111111111 {words(3)} 5555555555554444 {words(20)}", f"{words(20)} 4111111111111111 and 5555555555554444 {words(3)} Brandolf {words(20)}",  # beyond the next match of the kind
+        f"{words(20)} Onceonly 10.1.2.3 {words(20)}",  # once: nothing tells it from other words
+    ]
+    passage = f"{words(8)} krumhorn {words(8)} z.z@solo.example {words(8)}".split()  # near copies, one word changed in each
+    copies = [" ".join([*passage[:i], f"edit{'abcdefghijklmnopqrstuvwxyz'[i]}", *passage[i + 1:]]) for i in range(24) if "@" not in passage[i] and passage[i] != "krumhorn"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*(words(60) for _ in range(1000)), *told, *copies])], "doc_id bigint, text string").repartition(4)
+    terms = {r["term"]: r["share"] for r in pii.revealing_terms(rows, pii.base_spans(rows)).collect()}
+    assert set(terms) >= {"quixwald", "hrothgar", "vexmoor", "brandolf"} and all(terms[t] >= 0.8 for t in terms)
+    assert not set(terms) & {"onceonly", "krumhorn", "example"} and not set(terms) & set(vocabulary)
+    found = {r["doc_id"]: r["text"] for r in pii.sanitised(rows).collect()}
+    assert "uixwald" not in found[1000] and "rothgar" not in found[1001] and "Onceonly" in found[1010]
+
+
 def test_spans(spark, docs, texts, empty, clashing):
     order = sorted({(t[0] is None, t[0] or 0, t[1] or "") for t in texts})
     seen, gone = set(), {}
