@@ -402,6 +402,26 @@ def test_licence_cosine_is_whole():
         assert matcher.best(line) == ((best[1], -best[0]) if best else (None, None))
 
 
+def test_licence_headers_and_texts(spark):
+    header = "\n".join(f"# {line}" for line in licenses.HEADERS["Apache-2.0"].split("\n"))
+    gpl = next(" ".join(t for t, n in c.items() for _ in range(n)) for name, header_, c in licenses.templates() if name == "GPL-3.0" and not header_)
+    code = "\n".join(f"value{i} = other{i} + en" for i in range(40))
+    rows = [
+        ("a/x", "This project is licensed under the MIT License - see the LICENSE file for details"), ("a/x", "Copyright 2020 Jo Doe. Released under the MIT License."),
+        ("a/x", f"#!/bin/sh\n{header}\n{code}"), ("a/x", header.replace("\n# ", " ")), ("a/x", f"Copyright 2020 Jo Doe\n\n{licenses.HEADERS['MIT']}"),
+        ("a/x", gpl), ("a/x", licenses.HEADERS["BSD-3-Clause"]), ("a/x", code), ("a/x", licenses.HEADERS["BSD-2-Clause"]),
+    ]
+    files = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate([*rows, *(("b/y", "en el la de\nla en casa") for _ in range(200))])], "n int, path string, text string").repartition(3)
+    got = {r["n"]: r["licence"] for r in licenses.scan(files, ["n"]).collect()}
+    assert [got[i] for i in range(9)] == ["MIT", "MIT", "Apache-2.0", "Apache-2.0", "MIT", "GPL-3.0", "BSD-3-Clause", None, "BSD-2-Clause"] and len(got) == 209
+    # A frequent word beside a notice weighs little, a rare one much.
+    counts = {r["term"]: r["n"] for r in licenses.term_counts(files).collect()}
+    assert counts["en"] == 40 * 2 + 400 and counts["casa"] == 200
+    matcher = licenses.Matcher(counts[""], {t: n for t, n in counts.items() if t in licenses._vocabulary()})
+    line = "en released under the MIT License"
+    assert matcher.best(line, {"en": counts["en"]})[1] > matcher.best(line)[1]
+
+
 def page(menu, title, paragraphs, footer, extra=""):
     body = "".join(f"<p>{p}</p>" for p in paragraphs)
     return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{}}</style></head><body><nav><ul>{menu}</ul></nav><div class='ad'>Buy</div><article><h1>{title}</h1>{body}</article>{extra}<footer>{footer}</footer></body></html>"
