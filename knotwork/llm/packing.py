@@ -193,7 +193,7 @@ def _step(lengths, home, fill, giver, capacity):
     for item in own[np.argsort(-sizes, kind="stable")]:
         size = lengths[item]
         if size > most:
-            break
+            continue
         fits = open_bins[(room[open_bins] >= size) & (fill[open_bins] + size > fill[giver])]
         if len(fits):
             return np.array([item]), -1, fits[np.argmin(room[fits])]

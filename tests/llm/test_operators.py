@@ -175,6 +175,12 @@ def test_local_search_empties_a_bin():
         assert len(set(first)) <= len(packing.best_fit(lengths.tolist(), 100))
 
 
+def test_a_shorter_piece_moves_where_the_longest_fits_nowhere():
+    lengths, home = np.array([6, 2, 7]), np.array([0, 0, 1])
+    given, back, taker = packing._step(lengths, home, np.array([8, 7]), 0, 10)
+    assert (given.tolist(), back, taker) == ([1], -1, 1)
+
+
 def test_packing_in_blocks(spark):
     rng = random.Random(4)
     rows = [(i, rng.randrange(1, 101)) for i in range(700)]
