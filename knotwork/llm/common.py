@@ -28,13 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     Cuts the lineage as a checkpoint does, but takes less disk and reads single columns. The folder goes when the
     driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder. What is written there goes when the driver's Python ends."""
     if not _made:
         atexit.register(_remove)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append((spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"))
+    return _made[-1][1]
 
 
 def settled(df: DataFrame) -> DataFrame:

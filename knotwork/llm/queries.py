@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from knotwork.llm import licenses, mixing, packing, pages, pii, quality, repeats, simhash, spans, vectors
-from knotwork.llm.common import table
+from knotwork.llm import grammar, licenses, mixing, negatives, packing, pages, periods, pii, quality, repeats, simhash, spans, vectors
+from knotwork.llm.common import scratch, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -39,6 +39,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query("op11_periods")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return periods.digests(periods.find(docs.select("doc_id", periods.planted(F.col("doc_id"), F.col("text")).alias("text")), ["doc_id"]))
+
+
+@query("op13_negatives")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.quantised(table(spark, folder, "embeddings").withColumn("label", label))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op12_tokens")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch(spark)
+    grammar.write(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return grammar.read(spark, path)
+
+
 @query("op10_quality")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rated = quality.rate(table(spark, folder, "documents"), table(spark, folder, "labels"))
