@@ -6,7 +6,10 @@ executor costs a re-read. The driver sees one number per round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from knotwork.session import ensure_checkpoint_dir
 
@@ -19,7 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     done = df.checkpoint(eager=True)
-    return done.select(*[done[f"`{c}`"].alias(c) for c in done.columns])
+    named = done.select(*[done[f"`{c}`"].alias(c) for c in done.columns])
+    named._checkpoint = done
+    return named
 
 
 def cut_counting(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
@@ -29,6 +34,30 @@ def cut_counting(df: DataFrame, **metrics) -> tuple[DataFrame, dict]:
     return done, seen.get
 
 
+def forget(*done: DataFrame | None) -> None:
+    """Delete the checkpoints of tables that ``cut`` gave and that nothing reads any more; others are left alone."""
+    for df in done:
+        kept = getattr(df, "_checkpoint", None)
+        if kept is not None:
+            file = kept._jdf.queryExecution().logical().rdd().getCheckpointFile()
+            if file.isDefined():
+                _delete(df.sparkSession, file.get())
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder; what is written there goes when the driver's Python ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return  # the session has ended; its shared folder is the cluster's to clear
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the one with the greatest ``order`` tuple.
 

@@ -1,19 +1,22 @@
 """Spread activation, rule inference with proof paths, feedback, and the loop to a fixpoint.
 
 Everything that does not change between rounds (which rule meets which edge, type match,
-domain and range) is joined once into an evaluation table kept by edge source. A round joins
-it with the current activation and the facts so far.
+domain and range) is joined once. The loop works in changes: activation spreads from the nodes
+that feedback raised, and only rule-edge pairs that can fire and whose source changed are looked
+at. The trace of all pairs is made from the activation of each round when it is asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import fill_template, fixed2, type_note
 from knotwork.operators import ontology as onto_ops
-from knotwork.operators.loop import cut, cut_counting, keep_last
+from knotwork.operators.loop import cut, cut_counting, forget, keep_last
+from knotwork.operators.searches import PART, Links
 from knotwork.schema import FACTS, PROOF_STEP
 from knotwork.sources.ontology import Ontology
 
@@ -41,43 +44,52 @@ class Reasoning:
     iterations: int
     converged_by: str
     spread_converged: bool = True
-    traces: list = field(default_factory=list)
+    #: Activation that the rules of each round met, and what the pairs are made of.
+    rounds: list = field(default_factory=list)
+    inputs: tuple = ()
 
-    @property
+    @cached_property
     def trace(self) -> DataFrame:
-        out = self.traces[0]
-        for t in self.traces[1:]:
-            out = out.unionByName(t)
+        """Every (rule, edge) pair of every round, with the reason why it did not fire."""
+        evals, out = evaluations(*self.inputs), None
+        for iteration, activation in enumerate(self.rounds, start=1):
+            before = self.facts.filter(F.col("iteration") < iteration)
+            part = trace_of(evaluate(evals, activation, derived_ids(before), None, iteration))
+            out = part if out is None else out.unionByName(part)
         return out
 
 
-def spread_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the salience of their target, kept partitioned by source for the rounds."""
+def spread_links(nodes: DataFrame, edges: DataFrame, most: int = PART) -> Links:
+    """Edges with the salience of their target, kept by source for the rounds; edges of hubs are dealt into parts."""
     salience = nodes.select(F.col("id").alias("target"), F.coalesce("salience", F.lit(1.0)).alias("salience"))
     links = edges.select("source", "target", "weight").join(salience, "target", "left").select(
         "source", "target", "weight", F.coalesce("salience", F.lit(1.0)).alias("salience")
     )
-    return cut(links.repartition("source"))
+    return Links(links, most)
 
 
-def spread(links: DataFrame, seeds: DataFrame, decay: float = DECAY, max_rounds: int = MAX_SPREAD_ROUNDS):
+def spread(links: Links, seeds: DataFrame, decay: float = DECAY, max_rounds: int = MAX_SPREAD_ROUNDS):
     """Largest activation over all directed paths from the seeds; returns (activation, converged).
 
-    Only nodes that improved in a round pass on in the next. With gains above one on a cycle
-    the rounds would never end; they stop at ``max_rounds`` with ``converged`` false.
+    Only nodes that improved in a round pass on in the next. Seeds with ``changed`` false pass on nothing at first: all
+    that they could hand on has arrived. With gains above one on a cycle the rounds would never end; they stop at
+    ``max_rounds`` with ``converged`` false.
     """
-    state = cut(seeds.select("id", "activation", F.lit(True).alias("changed")))
+    changed = F.col("changed") if "changed" in seeds.columns else F.lit(True)
+    state = cut(seeds.select("id", "activation", changed.alias("changed")))
     for _ in range(max_rounds):
         front = state.filter(F.col("changed") & (F.col("activation") > 0)).select(
             F.col("id").alias("source"), F.col("activation").alias("a")
         )
         value = F.col("a") * F.lit(decay) * F.col("weight") * F.col("salience")
-        offered = links.join(front, "source").groupBy(F.col("target").alias("id")).agg(F.max(value).alias("offer"))
+        offered = links.meet(front).groupBy(F.col("target").alias("id")).agg(F.max(value).alias("offer"))
         better = F.col("offer").isNotNull() & (F.col("offer") > F.coalesce("activation", F.lit(0.0)) + MIN_GAIN)
         merged = state.select("id", "activation").join(offered, "id", "full_outer").select(
             "id", F.when(better, F.col("offer")).otherwise(F.col("activation")).alias("activation"), better.alias("changed")
         ).filter(F.col("activation").isNotNull())
+        before = state
         state, seen = cut_counting(merged, n=F.count_if("changed"))
+        forget(before)
         if seen["n"] == 0:
             return state.select("id", "activation"), True
     return state.select("id", "activation"), False
@@ -98,18 +110,16 @@ def spread_activation(nodes, edges, source, decay: float = DECAY, seed: DataFram
     return found
 
 
-def evaluations(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Ontology | None = None, check_domain: bool = True) -> DataFrame:
+def _pairs(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Ontology | None, check_domain: bool) -> DataFrame:
     """Every (rule, edge) pair of equal edge type with both ends known, and its fixed checks.
 
-    Types are checked per distinct (rule, source type, target type), not per edge. Without an
-    ontology types must be equal and no domain or range is checked.
+    Types are checked per distinct (rule, source type, target type), not per edge.
     """
     src = nodes.select(F.col("id").alias("source"), F.col("label").alias("source_label"), F.col("type").alias("source_type"))
     tgt = nodes.select(F.col("id").alias("target"), F.col("label").alias("target_label"), F.col("type").alias("target_type"))
     rows = edges.select(F.col("id").alias("edge_id"), F.col("type").alias("edge_type"), "source", "target").join(src, "source").join(tgt, "target")
-    rows = cut(rows)
     combo = ["edge_type", "source_type", "target_type"]
-    combos = rows.select(*combo).distinct()
+    combos = cut(rows.select(*combo).distinct())
     want = rules.select(
         F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), F.col("ord").cast("bigint").alias("rule_ord"), "edge_type",
         F.col("source_type").alias("rule_source"), F.col("target_type").alias("rule_target"), "threshold",
@@ -129,8 +139,12 @@ def evaluations(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Onto
         else:
             pairs = pairs.withColumn("valid", F.lit(True))
     pairs = pairs.withColumn("note", type_note("source_type", "rule_source", "target_type", "rule_target"))
-    out = rows.join(cut(pairs), combo).withColumn("fact_id", F.concat_ws("-", F.lit("fact"), "rule_id", "edge_id"))
-    return cut(out.repartition("source"))
+    return rows.join(cut(pairs), combo).withColumn("fact_id", F.concat_ws("-", F.lit("fact"), "rule_id", "edge_id"))
+
+
+def evaluations(nodes: DataFrame, edges: DataFrame, rules: DataFrame, onto: Ontology | None = None, check_domain: bool = True) -> DataFrame:
+    """All pairs, kept by the source of the edge. Without an ontology types must be equal and no domain or range is checked."""
+    return cut(_pairs(nodes, edges, rules, onto, check_domain).repartition("source"))
 
 
 def evaluate(evals: DataFrame, activation: DataFrame, derived_ids: DataFrame | None, facts_by_target: DataFrame | None, iteration: int) -> DataFrame:
@@ -156,6 +170,11 @@ def evaluate(evals: DataFrame, activation: DataFrame, derived_ids: DataFrame | N
         F.when(~F.col("type_ok"), mismatch).when(F.col("premise") < F.col("threshold"), low)
         .when(F.col("_done"), F.lit("already derived")).when(~F.col("valid"), violation),
     ).withColumns({"fired": F.col("skip_reason").isNull(), "iteration": F.lit(iteration)}).drop("_done")
+    return _proved(rows, facts_by_target)
+
+
+def _proved(rows: DataFrame, facts_by_target: DataFrame | None) -> DataFrame:
+    """Proof path and confidence of the pairs that fired: the proof of the premise and this step."""
     if facts_by_target is not None:
         rows = rows.join(facts_by_target.select(F.col("target_id").alias("source"), F.col("proof_path").alias("_prior")), "source", "left")
     else:
@@ -230,46 +249,84 @@ def infer(evals, activation, facts: DataFrame | None, iteration: int) -> tuple[D
 
 def feed_back(activation: DataFrame, facts: DataFrame, gain: float = FEEDBACK_GAIN) -> DataFrame:
     """Targets of facts gain confidence times gain, at most one."""
+    return _raised(activation, facts, gain).drop("changed")
+
+
+def _raised(activation: DataFrame, facts: DataFrame, gain: float) -> DataFrame:
+    """``feed_back`` with a mark on the nodes whose activation is another one now."""
     boost = facts.groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("confidence") * F.lit(gain)).alias("boost"))
     value = F.least(F.lit(1.0), F.coalesce("activation", F.lit(0.0)) + F.col("boost"))
+    fresh = F.when(F.col("boost").isNotNull(), value).otherwise(F.col("activation"))
     return activation.select("id", "activation").join(boost, "id", "full_outer").select(
-        "id", F.when(F.col("boost").isNotNull(), value).otherwise(F.col("activation")).alias("activation")
+        "id", fresh.alias("activation"), (~F.col("activation").eqNullSafe(fresh)).alias("changed")
     )
 
 
+def _seeded(raised: DataFrame, source: DataFrame) -> DataFrame:
+    """Activation after feedback with the source at one at least; what that changes is marked too."""
+    rows = raised.unionByName(source.select("id", F.lit(1.0).alias("activation"), F.lit(None).cast("boolean").alias("changed")))
+    own = F.max(F.when(F.col("changed").isNotNull(), F.col("activation")))
+    lifted = F.max(F.when(F.col("changed").isNull(), F.col("activation"))) > F.coalesce(own, F.lit(0.0))
+    return rows.groupBy("id").agg(
+        F.max("activation").alias("activation"), F.coalesce(F.bool_or("changed"), F.lit(False)).alias("_c"), F.coalesce(lifted, F.lit(False)).alias("_l")
+    ).select("id", "activation", (F.col("_c") | F.col("_l")).alias("changed"))
+
+
+def _fired(live: Links, spreaded: DataFrame, last: DataFrame | None, facts: DataFrame | None, iteration: int) -> DataFrame:
+    """The pairs that fire now: their source changed since the last round and reaches the threshold, and they have not fired."""
+    if last is None:
+        front, how = spreaded.select(F.col("id").alias("source"), F.col("activation").alias("_a")), "left"
+    else:
+        both = spreaded.join(last.select("id", F.col("activation").alias("_b")), "id", "full_outer")
+        both = both.filter(~F.col("activation").eqNullSafe(F.col("_b")))
+        front, how = both.select(F.col("id").alias("source"), F.col("activation").alias("_a")), "inner"
+    rows = live.meet(front, how).withColumn("premise", F.coalesce("_a", F.lit(0.0))).drop("_a").filter(F.col("premise") >= F.col("threshold"))
+    if facts is not None:
+        rows = rows.join(derived_ids(facts), "fact_id", "left_anti")
+    return _proved(rows.withColumns({"fired": F.lit(True), "iteration": F.lit(iteration)}), None if facts is None else latest_by_target(facts))
+
+
 def reason(
     nodes, edges, rules, source: DataFrame, onto: Ontology | None = None, decay: float = DECAY, epsilon: float = EPSILON,
-    max_iterations: int = MAX_ITERATIONS, feedback_gain: float = FEEDBACK_GAIN, check_domain: bool = True,
+    max_iterations: int = MAX_ITERATIONS, feedback_gain: float = FEEDBACK_GAIN, check_domain: bool = True, most: int = PART,
 ) -> Reasoning:
     """Spread, infer and feed back until nothing new is derived and activation rests.
 
     ``converged_by`` says how it ended: at a fixpoint, at the round bound, or with a spread that did not come to rest.
     """
-    links = spread_links(nodes, edges)
-    evals = evaluations(nodes, edges, rules, onto, check_domain)
-    activation, facts, traces = None, None, []
+    links = spread_links(nodes, edges, most)
+    live = Links(_pairs(nodes, edges, rules, onto, check_domain).filter(F.col("type_ok") & F.col("valid")), most)
+    state, facts, rounds = None, None, []
     converged_by, spread_ok, iteration = "max_iterations", True, 0
     for iteration in range(1, max_iterations + 1):
-        before = activation
-        spreaded, ok = spread(links, seed_source(activation, source), decay)
+        seeds = seed_source(None, source) if state is None else _seeded(state, source)
+        spreaded, ok = spread(links, seeds, decay)
         spread_ok &= ok
-        new, evaluated = infer(evals, spreaded, facts, iteration)
-        traces.append(trace_of(evaluated))
-        activation = feed_back(spreaded, new, feedback_gain)
-        if before is not None:
-            old = before.select("id", F.col("activation").alias("_old"))
-            both = activation.join(old, "id", "full_outer")
-        else:
-            both = activation.withColumn("_old", F.lit(None).cast("double"))
+        new, seen = cut_counting(merge_firings(_fired(live, spreaded, rounds[-1] if rounds else None, facts, iteration)), n=F.count("*"))
+        rounds.append(spreaded)
+        fresh = seen["n"] > 0
+        raised = _raised(spreaded, new, feedback_gain)
+        before = state.select("id", F.col("activation").alias("_old")) if state is not None else None
+        both = raised.withColumn("_old", F.lit(None).cast("double")) if before is None else raised.join(before, "id", "full_outer")
         change = F.abs(F.coalesce("activation", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0)))
         done, seen = cut_counting(both, delta=F.coalesce(F.max(change), F.lit(0.0)))
-        activation = done.filter(F.col("activation").isNotNull()).select("id", "activation")
-        fresh = not new.isEmpty()
+        state = done.filter(F.col("activation").isNotNull()).select("id", "activation", "changed")
         facts = new if facts is None else (facts.unionByName(new) if fresh else facts)
         if not fresh and seen["delta"] < epsilon:
             converged_by = "fixpoint"
             break
-    return Reasoning(activation, facts, iteration, converged_by if spread_ok else "unfinished spread", spread_ok, traces)
+    links.drop()
+    live.drop()
+    inputs = (nodes, edges, rules, onto, check_domain)
+    return Reasoning(state.select("id", "activation"), facts, iteration, converged_by if spread_ok else "unfinished spread", spread_ok, rounds, inputs)
+
+
+def save_run(result: Reasoning, nodes: DataFrame, stored: DataFrame, graph_id: str) -> tuple[DataFrame, DataFrame]:
+    """Node and fact tables with what a run found: its activation and derived marks on the nodes, its facts among the stored ones."""
+    from knotwork.sources.sinks import apply_activation, save_facts
+
+    facts, marked = save_facts(stored, result.facts.withColumn("graph_id", F.lit(graph_id)), apply_activation(nodes, result.activation))
+    return marked, facts
 
 
 def default_source(nodes: DataFrame) -> DataFrame:

@@ -238,6 +238,14 @@ def reasoning_facts(g):
     )
 
 
+@query("R11_saved_run", loop_sql(ROUNDS, f"""
+SELECT n.id, round(a.activation, 6) AS activation, n.id IN (SELECT target_id FROM facts{ROUNDS}) AS derived FROM entities n LEFT JOIN act{ROUNDS} a ON a.id = n.id"""))
+def saved_run(g):
+    none = stored_facts(g).withColumn("first_rule_ord", F.lit(2)).limit(0)
+    marked, _ = reasoning.save_run(full_run(g), nodes_of(g), none, GRAPH)
+    return marked.select("id", F.round("activation", 6).alias("activation"), "derived")
+
+
 @query("R3_proof_chains", loop_sql(ROUNDS, f"""
 SELECT id, round(list_reduce(premises, lambda x, y: x * y), 6) AS chain FROM facts{ROUNDS}"""))
 def proof_chains(g):
@@ -500,13 +508,13 @@ BOTH = "both_ways AS MATERIALIZED (SELECT source, target FROM edges UNION SELECT
 @query("G11_diameter", kg_sql("""
 SELECT CAST(max(far) AS DOUBLE) AS diameter, CAST(0 AS BIGINT) AS other_components FROM profile""", BOTH, *hops_sql("entities", "both_ways", 7)))
 def diameter(g):
-    return paths.hop_metrics(g.entities, g.edges).select("diameter", "other_components")
+    return paths.diameter(g.entities, g.edges).select("diameter", "other_components")
 
 
 @query("G12_average_path_length", kg_sql("""
 SELECT round(sum(hops) / (count(*) * (count(*) - 1)), 6) AS average_path_length FROM profile""", BOTH, *hops_sql("entities", "both_ways", 7)))
 def average_path_length(g):
-    return paths.hop_metrics(g.entities, g.edges).select(F.round("average_path_length", 6).alias("average_path_length"))
+    return paths.average_path_length(g.entities, g.edges).select(F.round("average_path_length", 6).alias("average_path_length"))
 
 
 @query("G13_eccentricity", kg_sql("SELECT id, CAST(far AS DOUBLE) AS eccentricity FROM profile", BOTH, *hops_sql("entities", "both_ways", 7)))

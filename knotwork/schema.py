@@ -12,10 +12,6 @@ EDGES = (
     "graph_id string, id string, source string, target string, type string, weight double, "
     "valid_at timestamp, invalid_at timestamp, produced_by_event_id string"
 )
-RULES = (
-    "id string, name string, edge_type string, source_type string, target_type string, "
-    "threshold double, weight double, description string, ord int"
-)
 PROOF_STEP = (
     "struct<rule_name:string, edge_type:string, source_label:string, target_label:string, "
     "premise_activation:double, iteration:int, type_resolution:string>"
@@ -26,11 +22,6 @@ FACTS = (
     f"first_rule_ord int, proof_path array<{PROOF_STEP}>, "
     "supporting_rule_ids array<string>, contributing_fact_ids array<string>"
 )
-TRACE = (
-    "rule_id string, rule_name string, edge_id string, edge_type string, source_label string, "
-    "target_label string, source_activation double, threshold double, fired boolean, "
-    "iteration int, skip_reason string, fact_id string"
-)
 TRIPLES = "subject string, predicate string, object string, derived boolean, confidence double, ord string"
 CLASSES = "uri string, label string, ord int"
 PROPERTIES = "uri string, label string, domain string, range string, ord int"
