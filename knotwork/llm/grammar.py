@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 SHARD, LEAST = 1 << 20, 16
 END = 0
-#: Entries of a worker's cache of word pieces; it starts afresh when full.
-CACHE = 700_000
+#: Bits of the hashes of pairs; their tables should fit a processor's cache.
+SLOTS = 18
+#: Entries of a worker's cache of pieces; a full one is kept until the next is full.
+CACHE = 350_000
 FILES = (
     "part int, shard int, base bigint, n_ids bigint, docs array<struct<doc_id: bigint, n_ids: bigint, n_symbols: bigint>>, "
     "rules binary, spans binary, symbols binary"
@@ -34,24 +36,28 @@ FILES = (
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"
 
 
-class _Pieces(dict):
-    """Ids of pieces of text as little-endian 32-bit words, by the tokenizer's model."""
+class _Cache(dict):
+    """What ``make`` gives for a text, kept. The cache before this one is asked first."""
 
-    def __init__(self, model):
+    def __init__(self, make, before: dict | None = None):
         super().__init__()
-        self.model = model
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(printable)]
-        shown = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.shown = {b: c for b, c in shown.items() if ord(c) != b}
-
-    def __missing__(self, piece: str) -> bytes:
-        seen = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(seen)])
-        if len(piece) <= 64:
-            self[piece] = ids
+        self.make, self.before = make, before if before is not None else {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.before.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= 64:
+            self[text] = ids
         return ids
 
+    def bounded(self) -> _Cache:
+        """This cache, or a new one after it where it is full; what came before this one goes."""
+        if len(self) <= CACHE:
+            return self
+        self.before = {}
+        return _Cache(self.make, self)
+
 
 class Encoder:
     """The ids that the tokenizer gives to a whole text. Pieces are looked up, since most occur many times."""
@@ -64,13 +70,19 @@ class Encoder:
         #: Beyond plain letters, digits and marks the tokenizer works on the text itself.
         self.strange = re.compile(r"[^\x00-\x1b\x20-\u02af\u2010-\u2027\u20a0-\u20bf]|[_\x85\xb2\xb3\xb9\xbc-\xbe]").search
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(self.whole.model)
+        #: The model reads bytes as printable characters: those that are none get code points from 256 on.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.shown = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+        self.pieces = _Cache(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        seen = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.whole.model.tokenize(seen)])
 
     def encode(self, text: str) -> bytes:
         if self.strange(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.pieces) > CACHE:
-            self.pieces = _Pieces(self.whole.model)
+        self.pieces = self.pieces.bounded()
         return b"".join(map(self.pieces.__getitem__, self.cut(text)))
 
 
@@ -92,6 +104,10 @@ def _select(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return ((place - first) & 1 == 0) & (before <= weight) & (after <= weight)
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).astype(np.int32)
+
+
 def compress(symbols: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules, spans) after all pairs that occur ``least`` times or more have been replaced.
 
@@ -107,9 +123,9 @@ def compress(symbols: np.ndarray, ends: np.ndarray, base: int, least: int = LEAS
         at = np.flatnonzero(live)
         keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         # A table of hashed counts drops most rare pairs before the exact count.
-        slot = ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int32)
-        often = np.bincount(slot, minlength=1 << 20)[slot] >= least
-        at, keys = at[often], keys[often]
+        slot = _slots(keys)
+        often = (np.bincount(slot, minlength=1 << SLOTS) >= least)[slot]
+        at, keys, slot = at[often], keys[often], slot[often]
         if not len(at):
             break
         ordered = np.sort(keys)
@@ -118,7 +134,12 @@ def compress(symbols: np.ndarray, ends: np.ndarray, base: int, least: int = LEAS
         pairs, counts = ordered[edge[counts >= least]], counts[counts >= least]
         if not len(pairs):
             break
-        number = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        # Most pairs are alone in their slot; the others are searched for.
+        held = np.zeros(1 << SLOTS, np.int32)
+        held[_slots(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        number = held[slot]
+        other = np.flatnonzero(pairs[number] != keys)
+        number[other] = np.minimum(np.searchsorted(pairs, keys[other]), len(pairs) - 1)
         good = pairs[number] == keys
         at, number = at[good], number[good]
         # Heavier: more frequent, then the smaller pair; ranks from 1.
@@ -154,7 +175,20 @@ def widths(symbols: np.ndarray, spans: np.ndarray, base: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, base: int) -> np.ndarray:
-    """The ids that ``symbols`` stand for."""
+    """The ids that ``symbols`` stand for: those of each symbol are laid out once, then copied."""
+    number = np.zeros(base + len(rules), np.int32)
+    number[symbols] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    size = widths(used, spans, base)
+    at = number[symbols]
+    length = size[at]
+    shift = (np.cumsum(size) - size)[at] - (np.cumsum(length) - length)
+    return _laid_out(used, rules, spans, base)[np.repeat(shift, length) + np.arange(int(length.sum()))]
+
+
+def _laid_out(symbols: np.ndarray, rules: np.ndarray, spans: np.ndarray, base: int) -> np.ndarray:
+    """The ids of one symbol after the other, pair by pair."""
     size = widths(symbols, spans, base)
     out = np.empty(int(size.sum()), np.uint32)
     place = np.cumsum(size) - size
