@@ -68,7 +68,7 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         core = word.strip(".,;:!?*&%$#()[]\"|-")
-        if not core.isalpha() or len(core) > 64 or "<" in word or "'" in word:
+        if not core.isalpha() or len(core) > 64 or "<" in word or "'" in word or not self._plain(core):
             return self._slow(word)
         if len(core) == len(word):
             return self._core(core)
@@ -81,9 +81,12 @@ class Encoder:
             ids = self.cores[marks] = self._slow(marks)
         return ids
 
+    @staticmethod
+    def _plain(core: str) -> bool:
+        """Whether the letters stay letters when they are normalised and lower-cased, so that marks beside them stay apart."""
+        return core.isascii() or (max(core) < "ɐ" and "İ" not in core and unicodedata.is_normalized("NFC", core))
+
     def _core(self, core: str) -> bytes:
-        if not core.isascii() and (max(core) >= "ɐ" or "İ" in core or not unicodedata.is_normalized("NFC", core)):
-            return self._slow(core)
         low = core.lower()
         ids = self.cores.get(low)
         if ids is None:

@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of their block elements. Each page's tree is matched with that of its host's reference page by
-simple tree matching, so that a node of the reference stands for the same place in all pages. A place that holds the
+Pages become trees of their block elements. Each page's tree is matched with that of a reference page of its host and
+layout by simple tree matching, so that a node of the reference stands for the same place in all pages. A place that holds the
 same text in nearly all pages of a host is template; places whose text varies hold content. Elements that name what
 they are (menus, footers, forms, adverts, comments and so on) are left out, and an article element, where there is
 one, bounds the content.
@@ -16,6 +16,7 @@ import html as entities
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +30,8 @@ SHARE, PAGES = 0.8, 4
 SURE_SHARE, SURE_PAGES = 0.95, 10
 #: Bytes of reference trees and templates up to which they are broadcast; beyond that they are joined by host.
 SMALL = 32 << 20
-#: Child pairs that one alignment compares; longer child lists are aligned in runs.
-CELLS = 1 << 20
+#: Pages of a host from which those of one layout have a template of their own.
+LAYOUT = 8
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S)
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -38,6 +39,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 # Element names of HTML by what they do.
 RAW = frozenset("script style textarea title noscript template iframe svg math object canvas audio video select button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+LANDMARKS = r"<(nav|header|main|article|aside|footer|section|table|form)\b"
 BLOCKS = frozenset(
     "html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main nav header "
     "footer aside form fieldset figure figcaption blockquote pre address details summary dialog menu hgroup search center".split()
@@ -185,72 +187,117 @@ def _children(parents: list[int]) -> tuple:
     return tuple(map(tuple, lists))
 
 
+class _Shapes:
+    """Numbers for subtrees of equal shape, in several trees; a child's number is less than its parent's."""
+
+    def __init__(self):
+        self.number: dict = {}
+        self.tag: list[str] = []
+        self.kids: list[tuple] = []
+        self.size: list[int] = []
+
+    def of(self, tags, kids) -> list[int]:
+        out = [0] * len(tags)
+        for node in range(len(tags) - 1, -1, -1):
+            inner = tuple([out[k] for k in kids[node]])
+            key = (tags[node], inner)
+            found = self.number.get(key)
+            if found is None:
+                found = self.number[key] = len(self.tag)
+                self.tag.append(tags[node])
+                self.kids.append(inner)
+                self.size.append(1 + sum(self.size[k] for k in inner))
+            out[node] = found
+        return out
+
+
 def match(tags_a, kids_a, tags_b, kids_b) -> dict[int, int]:
     """Simple tree matching: nodes of a with their partners in b, for the greatest number of pairs.
 
-    Pairs have equal tags, paired parents, and keep the order of siblings. Child lists whose product is over ``CELLS``
-    are aligned run by run, each bounded by it, in order.
+    Pairs have equal tags (the roots need not), paired parents, and keep the order of siblings. Subtrees of equal shape
+    are one, and pair off whole; where two child lists begin or end with equal shapes these pair off first, which loses
+    nothing. Pairs of shapes are worked off from a list, so trees of any depth do, and long lists are aligned row by row.
     """
+    shapes = _Shapes()
+    shape_a, shape_b = shapes.of(tags_a, kids_a), shapes.of(tags_b, kids_b)
     memo: dict = {}
 
-    def weight(a: int, b: int) -> int:
-        if tags_a[a] != tags_b[b]:
+    def simple(x: int, y: int):
+        """Weight of a pair of shapes that needs no alignment, else None."""
+        if shapes.tag[x] != shapes.tag[y]:
             return 0
-        if not kids_a[a] or not kids_b[b]:
-            return 1
-        key = (a, b)
-        if key not in memo:
-            memo[key] = align(kids_a[a], kids_b[b])
-        return memo[key][0] + 1
-
-    def align(xs: tuple, ys: tuple):
-        if len(xs) * len(ys) > CELLS:
-            step = max(1, int((CELLS * len(xs) / len(ys)) ** 0.5))
-            other = max(1, CELLS // step)
-            parts = [align(xs[i * step : (i + 1) * step], ys[i * other : (i + 1) * other]) for i in range(min(-(-len(xs) // step), -(-len(ys) // other)))]
-            return sum(p[0] for p in parts), [pair for p in parts for pair in p[1]]
-        # Rows of best totals; equal leaves at either end pair off at once, which loses nothing.
-        head, lo = [], 0
-        while lo < len(xs) and lo < len(ys) and not kids_a[xs[lo]] and not kids_b[ys[lo]] and tags_a[xs[lo]] == tags_b[ys[lo]]:
-            head.append((xs[lo], ys[lo]))
+        if x == y:
+            return shapes.size[x]
+        return 1 if not shapes.kids[x] or not shapes.kids[y] else None
+
+    def weight(x: int, y: int) -> int:
+        found = simple(x, y)
+        return memo[x, y][0] if found is None else found
+
+    def middle(x: int, y: int):
+        """What is left of two child lists between equal shapes at either end."""
+        xs, ys = shapes.kids[x], shapes.kids[y]
+        lo, hx, hy = 0, len(xs), len(ys)
+        while lo < hx and lo < hy and xs[lo] == ys[lo]:
             lo += 1
-        hx, hy, tail = len(xs), len(ys), []
-        while hx > lo and hy > lo and not kids_a[xs[hx - 1]] and not kids_b[ys[hy - 1]] and tags_a[xs[hx - 1]] == tags_b[ys[hy - 1]]:
+        while hx > lo and hy > lo and xs[hx - 1] == ys[hy - 1]:
             hx, hy = hx - 1, hy - 1
-            tail.append((xs[hx], ys[hy]))
-        xs, ys = xs[lo:hx], ys[lo:hy]
-        rows = [[0] * (len(ys) + 1)]
-        for x in xs:
-            last, row = rows[-1], [0]
-            for j, y in enumerate(ys):
-                best = last[j + 1] if last[j + 1] >= row[j] else row[j]
-                w = last[j] + weight(x, y)
-                row.append(w if w > best else best)
-            rows.append(row)
-        pairs, i, j = [], len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                pairs.append((xs[i], ys[j]))
-        return rows[-1][-1] + len(head) + len(tail), head + pairs[::-1] + tail[::-1]
-
-    def depth_first():
-        found, stack = {}, [(0, 0)]
-        while stack:
-            a, b = stack.pop()
-            found[a] = b
-            if kids_a[a] and kids_b[b]:
-                key = (a, b)
-                if key not in memo:
-                    memo[key] = align(kids_a[a], kids_b[b])
-                stack.extend(memo[key][1])
-        return found
-
-    return depth_first()
+        return lo, hx, hy
+
+    root = (shape_a[0], shape_b[0])
+    needed, stack = {root}, [root]
+    while stack:
+        x, y = stack.pop()
+        lo, hx, hy = middle(x, y)
+        for c in set(shapes.kids[x][lo:hx]):
+            for d in set(shapes.kids[y][lo:hy]):
+                if (c, d) not in needed and simple(c, d) is None:
+                    needed.add((c, d))
+                    stack.append((c, d))
+    for x, y in sorted(needed):
+        xs, ys = shapes.kids[x], shapes.kids[y]
+        lo, hx, hy = middle(x, y)
+        pairs = [(i, i) for i in range(lo)] + [(hx + i, hy + i) for i in range(len(xs) - hx)]
+        total = sum(shapes.size[xs[i]] for i, _ in pairs)
+        inner, found = _aligned(xs[lo:hx], ys[lo:hy], weight)
+        memo[x, y] = 1 + total + inner, pairs + [(lo + i, lo + j) for i, j in found]
+    found, stack = {}, [(0, 0)]
+    while stack:
+        a, b = stack.pop()
+        found[a] = b
+        key = (shape_a[a], shape_b[b])
+        if key in memo:
+            stack.extend((kids_a[a][i], kids_b[b][j]) for i, j in memo[key][1])
+        elif key[0] == key[1]:
+            stack.extend(zip(kids_a[a], kids_b[b]))
+    return found
+
+
+def _aligned(xs: tuple, ys: tuple, weight) -> tuple[int, list]:
+    """(greatest total, pairs of places) of an alignment in order. Of a long table only the ways are kept, as bits."""
+    if not xs or not ys:
+        return 0, []
+    names, at = np.unique(np.array(ys), return_inverse=True)
+    rows: dict = {}
+    last, ups, lefts = np.zeros(len(ys) + 1, np.int64), [], []
+    for x in xs:
+        if x not in rows:
+            rows[x] = np.array([weight(x, int(y)) for y in names], np.int64)[at]
+        row = np.zeros(len(ys) + 1, np.int64)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + rows[x]), out=row[1:])
+        ups.append(np.packbits(row[1:] == last[1:]))
+        lefts.append(np.packbits(row[1:] == row[:-1]))
+        last = row
+    pairs, i, j = [], len(xs) - 1, len(ys) - 1
+    while i >= 0 and j >= 0:
+        if ups[i][j >> 3] >> (7 - (j & 7)) & 1:
+            i -= 1
+        elif lefts[i][j >> 3] >> (7 - (j & 7)) & 1:
+            j -= 1
+        else:
+            pairs.append((i, j))
+            i, j = i - 1, j - 1
+    return int(last[-1]), pairs
 
 
 def host(url: str = "url"):
@@ -273,6 +320,19 @@ def _blocks(source: str, reference: str) -> list[dict]:
     return out
 
 
+def layouts(rows: DataFrame) -> DataFrame:
+    """(_host, _layout, _group, _own): the layouts of each host and the template that their pages take part in.
+
+    A layout is the set of landmark elements a page has. Layouts of many pages have a template of their own; pages of
+    rare layouts and empty ones are read by that of the host's most frequent layout, but have no say in it.
+    """
+    counted = rows.groupBy("_host", "_layout").agg(F.count("*").alias("n"))
+    main = counted.filter("_layout <> ''").groupBy("_host").agg(F.max_by("_layout", F.struct("n", "_layout")).alias("_main"))
+    own = (F.col("_layout") != "") & ((F.col("n") >= LAYOUT) | (F.col("_layout") == F.col("_main")))
+    named = counted.join(main, "_host", "left").withColumn("_own", F.coalesce(own, F.lit(False)))
+    return named.select("_host", "_layout", F.when(F.col("_own"), F.col("_layout")).otherwise(F.coalesce("_main", F.lit(""))).alias("_group"), "_own")
+
+
 def _near(df: DataFrame, size: int) -> DataFrame:
     """``df`` to be broadcast if its measured size allows it."""
     return F.broadcast(df) if size <= SMALL else df
@@ -281,15 +341,22 @@ def _near(df: DataFrame, size: int) -> DataFrame:
 def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (page_id, url) and the main text of every row of ``pages`` (page_id, url, html).
 
-    Null and empty html give an empty text. A host with few pages has no template; names and the article element
+    Null and empty html give an empty text. Shares are of the pages of one layout. A host with few pages has no template; names and the article element
     decide there. Blocks in an article are template only where their place is constant in nearly all of many pages.
     """
     carry = carry or ["page_id", "url"]
-    rows = pages.select(*carry, host().alias("_host"), F.col("html"), F.xxhash64("page_id", "url").alias("_tie"))
-    first = rows.filter("html IS NOT NULL").groupBy("_host").agg(F.min_by("html", F.struct("_tie", F.length("html"))).alias("html"))
+    marks = F.regexp_extract_all(F.lower("html"), F.lit(LANDMARKS))
+    layout = F.when(F.length(F.trim("html")) > 0, F.concat(F.lit("+"), F.array_join(F.array_sort(F.array_distinct(marks)), "+"))).otherwise(F.lit(""))
+    rows = pages.select(*carry, host().alias("_host"), F.col("html"), F.xxhash64("page_id", "url").alias("_tie"), F.coalesce(layout, F.lit("")).alias("_layout"))
+    known = stored(layouts(rows))
+    size = known.agg(F.coalesce(F.sum(F.length("_host") + 2 * F.length("_layout") + 60), F.lit(0))).first()[0]
+    rows = rows.join(_near(known, size), ["_host", "_layout"]).withColumn("_host", F.concat("_host", F.lit(" "), "_group"))
+    rows = rows.select(*carry, "_host", "_own", "html", "_tie")
+    first = rows.filter("_own").groupBy("_host").agg(F.min_by("html", F.struct("_tie", F.length("html"))).alias("html"))
     shapes = map_texts(first, ["_host"], lambda texts: {"shape": [skeleton(parse(t or "")) for t in texts]}, "shape string", "html")
     shapes = stored(shapes)
     size = shapes.agg(F.coalesce(F.sum(F.length("shape") + 100), F.lit(0))).first()[0]
+    carry, given = [*carry, "_own"], carry
     paired = rows.join(_near(shapes, size), "_host", "left").select(*carry, "_host", "html", "shape")
     kind = "blocks array<struct<node: int, hash: bigint, inside: boolean, out: boolean, text: string>>"
     out = StructType([*paired.schema[: len(carry) + 1], *paired.sparkSession.createDataFrame([], kind).schema])
@@ -305,8 +372,9 @@ def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(carry) + 1], pa.array(found, arrow)], names=[*carry, "_host", "blocks"])
 
     aligned = stored(paired.mapInArrow(align, out))
-    counts = aligned.groupBy("_host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= PAGES)
-    places = aligned.select("_host", F.inline("blocks")).filter("node >= 0").groupBy("_host", "node", "hash").agg(F.count("*").alias("n"))
+    told = aligned.filter("_own")
+    counts = told.groupBy("_host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= PAGES)
+    places = told.select("_host", F.inline("blocks")).filter("node >= 0").groupBy("_host", "node", "hash").agg(F.count("*").alias("n"))
     fixed = places.join(counts, "_host").filter(F.col("n") >= SHARE * F.col("pages"))
     place = F.struct("node", "hash")
     sure = (F.col("pages") >= SURE_PAGES) & (F.col("n") >= SURE_SHARE * F.col("pages"))
@@ -318,4 +386,4 @@ def extract(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     bounded = F.exists("blocks", lambda b: b["inside"] & ~b["out"])
     good = F.filter("blocks", lambda b: ~b["out"] & ~is_fixed(b) & (b["inside"] | ~F.col("_bounded")))
     text = F.array_join(F.transform(good, lambda b: b["text"]), "\n\n")
-    return known.withColumn("_bounded", bounded).select(*carry, text.alias("text"))
+    return known.withColumn("_bounded", bounded).select(*given, text.alias("text"))

@@ -487,6 +487,41 @@ def test_tree_matching():
         assert len(pairs) == slow(a, b) and len(set(pairs.values())) == len(pairs)
 
 
+def test_tree_matching_of_deep_and_wide_pages():
+    deep = "<div>" * 100_000 + "x"
+    tree = pages.parse(deep)
+    tags, kids = pages._reference(pages.skeleton(tree))
+    assert len(pages.match(tree.tag, pages._children(tree.parent), tags, kids)) == len(tags) > 100_000
+    other = pages.parse("<div>" * 99_000 + "<p>y" + "</div>" * 5 + "<div>z")
+    assert len(pages.match(other.tag, pages._children(other.parent), tags, kids)) >= 99_000
+    wide = pages.parse("<ul>" + "".join(f"<li>{i}<p>a" + "<p>b" * (i % 3) for i in range(20_000)))
+    less = pages.parse("<ul>" + "".join(f"<li>{i}<p>a" + "<p>b" * (i % 3) for i in range(20_000) if i % 5000))
+    tags, kids = pages._reference(pages.skeleton(less))
+    pairs = pages.match(wide.tag, pages._children(wide.parent), tags, kids)
+    assert len(pairs) == len(tags)
+
+
+def test_reference_pages_by_layout(spark):
+    def page(i, kind):
+        if kind == 0:
+            return f"<body><div>Site name</div><div><p>Story {i} tells something new</p></div><div>All rights</div></body>"
+        return f"<body><section><table><tr><td>Shop name</td></tr></table></section><section><p>Item {i} is on sale</p></section></body>"
+
+    rows = [(i, "http://a.example/x", page(i, 0)) for i in range(8)] + [(8, "http://a.example/x", ""), (9, "http://a.example/x", None)]
+    rows += [(10 + i, "http://b.example/x", page(i, i % 2)) for i in range(16)]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} tells something new" for i in range(8)) and got[8] == got[9] == ""
+    assert all(got[10 + i] == (f"Item {i} is on sale" if i % 2 else f"Story {i} tells something new") for i in range(16))
+
+
+def test_ids_of_letters_beside_marks():
+    coder = packing.encoder(tokenizer_path())
+    for c in range(0x110000):
+        if chr(c).isalpha() and (c < 0x3000 or 0xFB00 <= c < 0xFC00):
+            for text in (f"({chr(c)})", f"a{chr(c)}.", f";{chr(c)}:"):
+                assert coder.encode(text) == np.array(coder.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(c)
+
+
 def test_vectors(spark):
     rng = np.random.RandomState(3)
     centre = rng.randn(30, 64)
