@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import tokens
 from knotwork.operators.filters import _known_flag
-from knotwork.operators.loop import cut, keep_first
+from knotwork.operators.loop import cut, folder, keep_first
 from knotwork.operators.ranking import number_rows, top_k
 from knotwork.schema import EXTRACTION, HEURISTIC
 from knotwork.sources.ontology import Ontology
@@ -200,19 +200,33 @@ def context_blocks(contexts: DataFrame, n: int = 20) -> DataFrame:
 def summarise_with(contexts: DataFrame, existing: DataFrame, model: Callable[[str, str], str], n: int = 20) -> DataFrame:
     """New summary per entity: a caller's function of the summary so far and the next n contexts, until all are in.
 
-    A round folds one block of every entity that has so many.
+    A round folds one block of the entities that have so many, and touches no others. Each round's summaries are written
+    under its number; the result reads the last one of each entity.
     """
     blocks = cut(context_blocks(contexts, n))
+    sizes = blocks.groupBy("entity_id").agg(F.max("block").alias("last"))
     rounds = blocks.agg(F.coalesce(F.max("block"), F.lit(-1)).alias("b")).first()["b"] + 1
-    state = blocks.select("entity_id").distinct().join(existing.select("entity_id", "summary"), "entity_id", "left")
-    state = state.select("entity_id", F.coalesce("summary", F.lit("")).alias("summary"))
+    schema = "entity_id string, summary string"
 
     def run(batches):
         for pdf in batches:
-            new = [o if c is None else model(o, c).strip() for o, c in zip(pdf["summary"], pdf["context"])]
-            yield pd.DataFrame({"entity_id": pdf["entity_id"], "summary": new})
+            yield pd.DataFrame({"entity_id": pdf["entity_id"], "summary": [model(o or "", c).strip() for o, c in zip(pdf["summary"], pdf["context"])]})
 
+    path, state = folder(blocks.sparkSession), existing.select("entity_id", "summary")
+    if not rounds:
+        return blocks.select("entity_id", F.lit("").alias("summary"))
     for b in range(rounds):
-        step = blocks.filter(F.col("block") == b).select("entity_id", "context")
-        state = cut(state.join(step, "entity_id", "left").mapInPandas(run, "entity_id string, summary string"))
-    return state
+        step = blocks.filter(F.col("block") == b).select("entity_id", "context").join(state, "entity_id", "left")
+        step.mapInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/block={b}")
+        state = blocks.sparkSession.read.schema(schema).parquet(f"{path}/block={b}")
+    every = blocks.sparkSession.read.schema(schema + ", block bigint").parquet(path)
+    return every.join(sizes, "entity_id").filter(F.col("block") == F.col("last")).select("entity_id", "summary")
+
+
+def prompt_vocabulary(texts: DataFrame, classes: DataFrame, properties: DataFrame, n_classes: int = PROMPT_CLASSES, n_properties: int = PROMPT_PROPERTIES) -> DataFrame:
+    """(doc_id, kind, label, overlap, rank): the classes and the properties that a prompt names, each by a limit of its own."""
+    ranked = [
+        vocabulary_ranking(texts, labels, limit).withColumn("kind", F.lit(kind))
+        for kind, labels, limit in (("class", classes, n_classes), ("property", properties, n_properties))
+    ]
+    return ranked[0].unionByName(ranked[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.operators.loop import cut
@@ -30,18 +32,6 @@ def summary(graph_id: str, mined: DataFrame, result: Reasoning | None, duplicate
     })
 
 
-def summary_text(row: DataFrame) -> DataFrame:
-    weights = F.array_join(F.transform(F.map_entries("active_rule_weights"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"]))), ", ")
-    reasoning = F.when(F.col("reasoning_ran"), F.concat(
-        F.lit("reasoning converged ("), "converged_by", F.lit(") after "), F.col("iterations").cast("string"), F.lit(" iteration(s) with "),
-        F.col("new_facts").cast("string"), F.lit(" new fact(s)"))).otherwise(F.lit("reasoning skipped (empty graph)"))
-    return row.select("graph_id", F.concat_ws(
-        "; ", F.concat(F.lit("mined "), F.col("mined_candidates").cast("string"), F.lit(" rule candidate(s)")), reasoning,
-        F.concat(F.lit("flagged "), F.col("duplicate_candidates").cast("string"), F.lit(" likely-duplicate entity candidate(s)")),
-        F.when(F.size("active_rule_weights") > 0, F.concat(F.lit("active rule weights: "), weights)),
-    ).alias("summary"))
-
-
 def run_maintenance(graph_id: str, nodes, edges, rules, onto: Ontology, covered: DataFrame, vectors: DataFrame, **settings):
     """Mined candidates, reasoning result, duplicate candidates and the summary row.
 
@@ -52,3 +42,23 @@ def run_maintenance(graph_id: str, nodes, edges, rules, onto: Ontology, covered:
     result = None if nodes.isEmpty() else run_reasoning(nodes, edges, rules, onto)
     duplicates = cut(duplicate_candidates(vectors, label_closure(onto)))
     return mined, result, duplicates, summary(graph_id, mined, result, duplicates, rules)
+
+
+def maintain_due(due: DataFrame, graph: Callable[[str], tuple], runs: str, number: int) -> None:
+    """A maintenance pass for each graph of ``due`` (graph_id), and its summary among the ``runs``.
+
+    ``graph`` gives (nodes, edges, rules, ontology, covered, vectors) of a graph. The rows of a batch are written under
+    its number, so a batch that is tried again replaces its own rows. One graph follows the other; each is a Spark job.
+    """
+    done = None
+    for row in due.select("graph_id").distinct().orderBy("graph_id").toLocalIterator():
+        part = run_maintenance(row["graph_id"], *graph(row["graph_id"]))[3]
+        done = part if done is None else done.unionByName(part)
+    if done is not None:
+        done.write.mode("overwrite").parquet(f"{runs}/batch={number}")
+
+
+def last_runs(runs: DataFrame, schedules: DataFrame, now) -> DataFrame:
+    """``schedules`` with the time of the passes in ``runs`` as last_run_at."""
+    ran = runs.select("graph_id").distinct().withColumn("_ran", now)
+    return schedules.join(ran, "graph_id", "left").withColumn("last_run_at", F.coalesce("_ran", "last_run_at")).drop("_ran")

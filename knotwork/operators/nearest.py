@@ -7,15 +7,18 @@ left is one matrix product inside a task that returns at most k rows per vector.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.vectors import norm
-from knotwork.operators.loop import cut
+from knotwork.operators.loop import cut, cut_counting
 from knotwork.operators.ranking import number_rows, top_k
 
-CHUNK = 4096
+#: Vectors of a chunk at most and at least, and the chunks that a table has unless they would be larger or smaller.
+CHUNK, SMALLEST, CHUNKS = 4096, 32, 64
 PIVOTS = 16
 ROWS_AT_ONCE = 64
 
@@ -70,13 +73,15 @@ def _best(a: np.ndarray, b: np.ndarray, k: int):
         yield i[top] + start, j[top], dist[top]
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, farthest: float | None = None, same: bool = False, chunk: int = CHUNK) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, farthest: float | None = None, same: bool = False, chunk: int | None = None) -> DataFrame:
     """(left_id, right_id, distance, rank): the k nearest rights of each left in the same space.
 
     Inputs have id, space and vec (array<double>); distance is Euclidean and rounded to 9 digits,
     ties go to the smaller id. ``farthest`` drops larger distances; ``same`` leaves out equal ids.
     """
-    left, right = left.select("id", "space", "vec"), cut(right.select("id", "space", "vec"))
+    left = left.select("id", "space", "vec")
+    right, seen = cut_counting(right.select("id", "space", "vec"), n=F.count("*"))
+    chunk = chunk or min(CHUNK, max(SMALLEST, math.ceil(seen["n"] / CHUNKS)))
     chosen = top_k(right.withColumn("_h", F.xxhash64("id")), ["space"], [F.asc("_h"), F.asc("id")], PIVOTS, "_r")
     pivots = cut(chosen.groupBy("space").agg(F.collect_list("vec").alias("pivots")))
     b = _chunks(right, pivots, chunk)
@@ -86,7 +91,11 @@ def nearest(left: DataFrame, right: DataFrame, k: int, farthest: float | None =
     lb = b.select("space", F.col("chunk").alias("cb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), "n")
     gap = F.zip_with("alo", "bhi", lambda x, y: x - y)
     gap2 = F.zip_with("blo", "ahi", lambda x, y: x - y)
-    bounds = la.join(lb, "space").select(
+    # Bounds of all chunks of a space meet; runs of them by salt, so that no key gathers more than a few thousand pairs' worth.
+    salts = max(1, math.ceil(seen["n"] / chunk / 256))
+    la = la.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    lb = lb.withColumn("_salt", F.pmod(F.xxhash64("cb"), F.lit(salts)).cast("int"))
+    bounds = la.join(lb, ["space", "_salt"]).select(
         "space", "ca", "cb", "n", F.greatest(F.array_max(gap), F.array_max(gap2), F.lit(0.0)).alias("least"),
         F.array_min(F.zip_with("ahi", "bhi", lambda x, y: x + y)).alias("most"),
     )

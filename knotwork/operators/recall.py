@@ -88,6 +88,33 @@ def question_recall(messages: DataFrame, summaries: DataFrame, question: str, li
     return cut_to.select("rank", "id", "kind").withColumn("confidence", share)
 
 
+def recall_questions(messages: DataFrame, summaries: DataFrame, questions: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(graph_id, question_id, rank, id, kind, confidence) for a table of questions (graph_id, question_id, question).
+
+    Messages and summaries carry a graph_id and are looked at by the questions of their graph alone. A graph's terms are
+    gathered into one row, so each text is read once for all of them; limits hold per graph, question and term.
+    Confidence is the share of a question's terms that hit. Questions with the same id in a graph must not differ.
+    """
+    asked = questions.select("graph_id", "question_id", recall_terms(F.col("question")).alias("terms"))
+    terms = asked.select("graph_id", "question_id", F.posexplode("terms").alias("term", "t"), F.size("terms").alias("n"))
+    per_graph = terms.groupBy("graph_id").agg(F.collect_list(F.struct("question_id", "term", "t", "n")).alias("terms"))
+    m = messages.select("graph_id", F.lit(1).alias("source"), F.lit("chat_message").alias("kind"), "id", F.col("content").alias("text"), "seq")
+    s = summaries.filter(F.col("summary").isNotNull()).select(
+        "graph_id", F.lit(2).alias("source"), F.lit("entity_summary").alias("kind"), "id", F.col("summary").alias("text"), F.lit(0).cast("bigint").alias("seq")
+    )
+    low = F.lower("text")
+    met = m.unionByName(s).join(per_graph, "graph_id").select(
+        "graph_id", "source", "kind", "id", "seq", F.explode(F.filter("terms", lambda x: F.contains(low, F.lower(x["t"])))).alias("x")
+    ).select("graph_id", "source", "kind", "id", "seq", F.col("x.question_id").alias("question_id"), F.col("x.term").alias("term"), F.col("x.n").alias("n"))
+    own = ["graph_id", "question_id"]
+    each = top_k(met, [*own, "term", "source"], [F.desc("seq"), F.asc("id")], limit, "pos")
+    per_term = cut(top_k(each, [*own, "term"], [F.asc("source"), F.asc("pos")], limit, "place"))
+    share = per_term.groupBy(*own).agg((F.count_distinct("term") / F.max("n")).alias("confidence"))
+    first = keep_first(per_term.select(*own, "id", "kind", "term", "place"), [*own, "id"], ["term", "place"])
+    ranked = top_k(first, own, [F.asc("term"), F.asc("place")], limit, "rank")
+    return ranked.join(share, own).select(*own, "rank", "id", "kind", "confidence")
+
+
 def overlap_ranking(catalogue: DataFrame, task: str, limit: int = 5) -> DataFrame:
     """Catalogue rows by shared words over the number of task words; rows without overlap are dropped."""
     tokens = lambda text: F.split(F.trim(F.lower(text)), r"\s+")

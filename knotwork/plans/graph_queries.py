@@ -293,15 +293,23 @@ def fed_back_facts(g):
 
 
 def reviews(g):
-    return g.table("customer").select(
-        F.concat(F.lit("fact-domiciled-in-tpch:customer-"), F.col("c_custkey").cast("string"), F.lit("->is-domiciled-in->tpch:nation-"), F.col("c_nationkey").cast("string")).alias("fact_id"),
-        F.when(F.col("c_acctbal") > 0, "confirmed").when(F.col("c_acctbal") > -500, "rejected").otherwise("unsure").alias("outcome"), F.col("c_custkey").alias("ord"),
-    )
+    """What reviewers say of each domicile, by the account balance of the customer or supplier."""
+    def side(table, prefix, key, nation, balance):
+        edge = F.concat(g.node(prefix, key), F.lit("->is-domiciled-in->"), g.node("nation", nation))
+        outcome = F.when(F.col(balance) > 0, "confirmed").when(F.col(balance) > -500, "rejected").otherwise("unsure")
+        return g.table(table).select(F.concat(F.lit("fact-domiciled-in-"), edge).alias("fact_id"), outcome.alias("outcome"), F.col(key).alias("ord"))
+
+    return side("customer", "customer", "c_custkey", "c_nationkey", "c_acctbal").union(side("supplier", "supplier", "s_suppkey", "s_nationkey", "s_acctbal"))
+
 
+REVIEWED = """
+reviewed AS (
+  SELECT 'fact-domiciled-in-tpch:customer-' || c_custkey || '->is-domiciled-in->tpch:nation-' || c_nationkey AS id, c_acctbal AS balance FROM customer
+  UNION ALL SELECT 'fact-domiciled-in-tpch:supplier-' || s_suppkey || '->is-domiciled-in->tpch:nation-' || s_nationkey, s_acctbal FROM supplier)"""
 
-@query("R12_fact_review", """
-SELECT 'fact-domiciled-in-tpch:customer-' || c_custkey || '->is-domiciled-in->tpch:nation-' || c_nationkey AS id,
-       CASE WHEN c_acctbal > 0 THEN 'confirmed' WHEN c_acctbal > -500 THEN 'rejected' ELSE 'pending' END AS review_status FROM customer""")
+
+@query("R12_fact_review", f"""
+WITH {REVIEWED} SELECT id, CASE WHEN balance > 0 THEN 'confirmed' WHEN balance > -500 THEN 'rejected' ELSE 'pending' END AS review_status FROM reviewed""")
 def fact_review(g):
     from knotwork.operators.review import review_facts
 
@@ -309,8 +317,8 @@ def fact_review(g):
 
 
 @query("R12_rule_weight", kg_sql("""
-SELECT id, round(CASE WHEN id = 'domiciled-in' THEN (SELECT avg(CASE WHEN c_acctbal > 0 THEN 1.0 ELSE 0.0 END) FROM customer WHERE c_acctbal > -500)
-  ELSE weight END, 6) AS weight FROM rules"""))
+SELECT id, round(CASE WHEN id = 'domiciled-in' THEN (SELECT avg(CASE WHEN balance > 0 THEN 1.0 ELSE 0.0 END) FROM reviewed WHERE balance > -500)
+  ELSE weight END, 6) AS weight FROM rules""", REVIEWED))
 def rule_weight(g):
     from knotwork.operators.review import review_facts
 
@@ -533,6 +541,43 @@ def weak_components(g):
     return components.weak_components(g.place_nodes, g.place_edges)
 
 
+@query("G7_whole_graph", kg_sql("SELECT id, CAST(0 AS BIGINT) AS component FROM entities"))
+def whole_components(g):
+    """All parts and traders hang together through sizes, nations and regions."""
+    return components.weak_components(g.entities, g.edges)
+
+
+@query("G8_audit", """
+WITH m AS (SELECT 'region-' || r_regionkey AS id, r_regionkey AS region FROM region UNION ALL SELECT 'nation-' || n_nationkey, n_regionkey FROM nation
+  UNION ALL SELECT 'customer-' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'supplier-' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'tpch:region-' || region AS component, count(*) AS nodes, count(*) AS placed, CAST(0 AS BIGINT) AS reaching_out, true AS at_least_as_good FROM m GROUP BY 1""")
+def community_audit(g):
+    """Per component: its nodes, those with a community, communities that reach into another component, and whether
+    the communities are worth at least what the components themselves are by modularity."""
+    found = cut(community.louvain(g.place_nodes, g.place_edges))
+    whole = cut(components.min_labels(g.place_edges, g.place_nodes))
+    arcs = cut(community.undirected(g.place_edges))
+    better = community.modularity(arcs, found) >= community.modularity(arcs, whole.withColumnRenamed("component", "community")) - 1e-9
+    both = whole.join(found, "id", "left")
+    spread = both.groupBy("community").agg(F.min("component").alias("component"), (F.count_distinct("component") - 1).alias("out"))
+    out = spread.groupBy("component").agg(F.sum("out").alias("reaching_out"))
+    sizes = both.groupBy("component").agg(F.count("*").alias("nodes"), F.count("community").alias("placed"))
+    names = g.place_nodes.filter(F.col("type") == "region").select("id").join(whole, "id").select("component", "id")
+    return sizes.join(out, "component").join(names, "component").select(
+        F.col("id").alias("component"), "nodes", "placed", F.col("reaching_out").cast("bigint").alias("reaching_out"), F.lit(better).alias("at_least_as_good")
+    )
+
+
+@query("A11_detected_members", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS members, true AS several")
+def detected_members(g):
+    """Members of all communities that are detected, and whether some have several."""
+    from knotwork.operators.counting import community_members
+
+    sizes = community_members(community.detect_communities(g.place_nodes, g.place_edges)[1])
+    return sizes.agg(F.sum("members").alias("members"), (F.max("members") > 1).alias("several"))
+
+
 @query("G6_louvain")
 def louvain(g):
     return community.louvain(g.place_nodes, g.place_edges)

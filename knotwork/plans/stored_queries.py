@@ -15,10 +15,10 @@ from knotwork.sources import graph as src, sinks
 from knotwork.sources.ontology import load_schema
 
 
-# Facts stored for the scans: every customer's domicile, in the round of its nation's region.
+# Facts stored for the scans: every customer's and supplier's domicile, in a round that its nation's number gives.
 def stored_facts(g):
     kg = g.place_edges.filter(F.col("type") == "is domiciled in").join(
-        g.entities.filter(F.col("source_doc") == "customer").select(F.col("id").alias("source"), F.col("label").alias("sl")), "source"
+        g.entities.select(F.col("id").alias("source"), F.col("label").alias("sl")), "source"
     ).join(g.entities.select(F.col("id").alias("target"), F.col("label").alias("tl")), "target")
     step = F.struct(
         F.lit("Organization Domiciled In").alias("rule_name"), F.col("type").alias("edge_type"),
@@ -49,7 +49,7 @@ facts AS (
          CASE WHEN CAST(split_part(e.target, '-', 2) AS INT) % 5 = 0 THEN true END AS fed_back,
          CASE WHEN CAST(split_part(e.target, '-', 2) AS INT) % 7 = 0 THEN 'confirmed' END AS review_status
   FROM edges e JOIN entities s ON s.id = e.source JOIN entities t ON t.id = e.target
-  WHERE e.type = 'is domiciled in' AND s.source_doc = 'customer')"""
+  WHERE e.type = 'is domiciled in')"""
 
 TRIPLES = """
 triples AS MATERIALIZED (
@@ -382,19 +382,25 @@ def update_metadata(g):
     return out.select("id", "note", "salience", first.alias("first_property"))
 
 
-@query("F5_set_properties", """
-SELECT 'tpch:customer-' || c_custkey AS id, c_mktsegment AS segment,
-       coalesce(CAST(max_by(o_orderpriority, (o_orderdate, o_orderkey)) AS VARCHAR), '') AS last_priority,
-       CAST(CASE WHEN count(o_orderkey) > 0 THEN 2 ELSE 1 END AS BIGINT) AS n_keys
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
+@query("F5_set_properties", kg_sql("""
+SELECT n.id, coalesce(c_mktsegment, p_brand, '') AS first_value, coalesce(last, '') AS last_priority,
+       CAST(CASE n.source_doc WHEN 'customer' THEN 1 WHEN 'part' THEN CASE WHEN p_brand IS NULL THEN 0 ELSE 2 END ELSE 0 END + CASE WHEN last IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_keys
+FROM entities n LEFT JOIN customer ON n.id = 'tpch:customer-' || c_custkey LEFT JOIN part ON n.id = 'tpch:part-' || p_partkey LEFT JOIN (
+  SELECT id, arg_max(v, o) AS last FROM (
+    SELECT 'tpch:customer-' || o_custkey AS id, o_orderpriority AS v, (o_orderdate::VARCHAR, o_orderkey) AS o FROM orders
+    UNION ALL SELECT DISTINCT 'tpch:supplier-' || l_suppkey, o_orderpriority, (o_orderdate::VARCHAR, o_orderkey) FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY 1) l ON l.id = n.id"""))
 def set_properties(g):
-    changes = g.table("orders").select(
-        g.node("customer", "o_custkey").alias("id"), F.lit("last").alias("key"), F.col("o_orderpriority").alias("value"),
-        F.struct("o_orderdate", "o_orderkey").alias("ord"),
+    orders, sold = g.table("orders"), g.table("lineitem").select("l_orderkey", "l_suppkey").distinct()
+    sides = [
+        orders.select(g.node("customer", "o_custkey").alias("id"), "o_orderpriority", "o_orderdate", "o_orderkey"),
+        orders.join(sold, F.col("o_orderkey") == F.col("l_orderkey")).select(g.node("supplier", "l_suppkey").alias("id"), "o_orderpriority", "o_orderdate", "o_orderkey"),
+    ]
+    changes = sides[0].union(sides[1]).select(
+        "id", F.lit("last").alias("key"), F.col("o_orderpriority").alias("value"), F.struct("o_orderdate", "o_orderkey").alias("ord"),
     )
-    nodes = g.entities.filter(F.col("source_doc") == "customer")
-    return sinks.set_properties(nodes, changes).select(
-        "id", F.col("properties")["segment"].alias("segment"), F.coalesce(F.col("properties")["last"], F.lit("")).alias("last_priority"),
+    kept = F.col("properties")
+    return sinks.set_properties(g.entities, changes).select(
+        "id", F.coalesce(kept["segment"], kept["brand"], F.lit("")).alias("first_value"), F.coalesce(kept["last"], F.lit("")).alias("last_priority"),
         F.size("properties").cast("bigint").alias("n_keys"),
     )
 

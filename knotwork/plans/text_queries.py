@@ -52,9 +52,15 @@ scored AS (SELECT doc_id, label, len(list_intersect({TOKENS.format('text')}, {TO
 ranked AS (SELECT doc_id, label, CAST(overlap AS BIGINT) AS overlap, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, label) AS BIGINT) AS rank FROM scored)"""
 
 
-@query("X3_prompt_vocabulary", onto_sql("SELECT doc_id, label, overlap, rank FROM ranked WHERE rank <= 4", RANKED))
+@query("X3_prompt_vocabulary", onto_sql(f"""
+SELECT doc_id, kind, label, CAST(overlap AS BIGINT) AS overlap, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY overlap DESC, label) AS rank FROM (
+    SELECT doc_id, kind, label, len(list_intersect(words, tokens)) AS overlap FROM (SELECT doc_id, {TOKENS.format('text')} AS words FROM documents), (
+      SELECT kind, label, {TOKENS.format('label')} AS tokens FROM (SELECT DISTINCT 'class' AS kind, label FROM class_rows UNION SELECT 'property', label FROM property_rows))))
+WHERE rank <= CASE kind WHEN 'class' THEN 60 ELSE 40 END"""))
 def prompt_vocabulary(g):
-    return extraction.vocabulary_ranking(g.table("documents"), vocabulary(g), 4)
+    o = g.ontology
+    return extraction.prompt_vocabulary(g.table("documents"), cut(o.classes.select("label").distinct()), cut(o.properties.select("label").distinct()))
 
 
 @query("T4_vocabulary_top", onto_sql("SELECT label, count(*) AS documents FROM ranked WHERE rank <= 2 GROUP BY 1", RANKED))
@@ -63,12 +69,12 @@ def vocabulary_top(g):
 
 
 def dictionary(g):
-    """Names found in the benchmark texts: long words, and the first two words of each item."""
+    """Names found in the benchmark texts: all their words, and the first two words of each item."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
     items = g.table("benchmark").select(words.alias("w"))
-    longs = items.select(F.explode("w").alias("name")).filter(F.length("name") >= 9).select("name", F.lit("term").alias("type"))
+    single = items.select(F.explode("w").alias("name"), F.lit("term").alias("type"))
     heads = items.filter(F.size("w") > 1).select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("name"), F.lit("opening").alias("type"))
-    return longs.union(heads).distinct()
+    return single.union(heads).distinct()
 
 
 @query("X4_dictionary_extraction", r"""
@@ -76,7 +82,7 @@ WITH b AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchma
 names AS (SELECT DISTINCT unnest(w) AS name, 'term' AS type FROM b UNION SELECT w[1] || ' ' || w[2], 'opening' FROM b WHERE len(w) > 1),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 grams AS (SELECT doc_id, unnest(w) AS name FROM d UNION SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d)
-SELECT DISTINCT doc_id, name, type FROM grams JOIN names USING (name) WHERE type = 'opening' OR length(name) >= 9""")
+SELECT DISTINCT doc_id, name, type FROM grams JOIN names USING (name)""")
 def dictionary_extraction(g):
     payloads = extraction.extract_by_dictionary(g.table("documents"), dictionary(g))
     found = payloads.select("doc_id", F.explode(F.from_json("payload", extraction.EXTRACTION)["entities"]).alias("e"))
@@ -214,34 +220,30 @@ def streamed_edges(g):
     return jobs.stored_edges(g.spark, f"{base}/log").select("id", "valid_at", "invalid_at")
 
 
-@query("Y2_streamed_maintenance", """
-SELECT 'user-' || user_id AS graph_id, any_value(n) AS facts FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id) AS n, ts FROM events) GROUP BY user_id
-HAVING user_id % 30 >= 5 AND user_id % 2 = 0""")
-def streamed_maintenance(g):
-    """Event counts of the graphs whose schedule is due."""
-    from knotwork.operators.review import schedules
-    from knotwork.streaming import jobs
+@query("X7_context_blocks", """
+SELECT CAST(conv_id AS VARCHAR) AS entity_id, CAST((r - 1) // 3 AS BIGINT) AS block, string_agg(text, ' ' ORDER BY r) AS context FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations) GROUP BY 1, 2""")
+def context_blocks(g):
+    return extraction.context_blocks(turns(g), 3)
 
-    base = f"{ensure_checkpoint_dir(g.spark)}/schedule-{uuid.uuid4().hex}"
-    events = g.table("events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("graph_id"), "user_id", "ts")
-    names = events.select("graph_id", "user_id").distinct()
-    config = names.select("graph_id", (F.col("user_id") % 2 == 0).alias("enabled"), (F.col("user_id") % 30).alias("interval_minutes"), F.lit(None).cast("timestamp").alias("last_run_at"))
-    plan = schedules(names.select("graph_id"), config)
-    plan.repartition(2).write.parquet(f"{base}/in")
 
-    def run(due, number):
-        events.join(due, "graph_id", "left_semi").groupBy("graph_id").agg(F.count("*").alias("facts")).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+def turns(g):
+    return g.table("conversations").select(F.col("conv_id").cast("string").alias("entity_id"), F.col("turn").alias("ord"), "text")
 
-    schema = "graph_id string, enabled boolean, interval_minutes bigint, last_run_at timestamp"
-    jobs.stream_maintenance(g.spark, f"{base}/in", schema, f"{base}/state", F.lit("2024-02-01 00:00:00").cast("timestamp"), run)
-    return g.spark.read.schema("graph_id string, facts bigint").option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*").select("graph_id", "facts")
+
+def heads(old: str, context: str) -> str:
+    """A summary that keeps the first words of each block of contexts."""
+    head = context.replace("\n", " ")[:40].strip(" ")
+    return f"{old} / {head}" if old else head
 
 
 @query("X7_latest_summaries", """
-SELECT CAST(conv_id AS VARCHAR) AS entity_id, CAST((r - 1) // 3 AS BIGINT) AS block, string_agg(text, ' ' ORDER BY r) AS context FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations) GROUP BY 1, 2""")
+SELECT entity_id, trim(string_agg(trim(left(context, 40), ' '), ' / ' ORDER BY block), ' ') AS summary FROM (
+  SELECT CAST(conv_id AS VARCHAR) AS entity_id, (r - 1) // 3 AS block, replace(string_agg(text, ' ' ORDER BY r), chr(10), ' ') AS context FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations) GROUP BY 1, 2) GROUP BY 1""")
 def latest_summaries(g):
-    return extraction.context_blocks(g.table("conversations").select(F.col("conv_id").cast("string").alias("entity_id"), F.col("turn").alias("ord"), "text"), 3)
+    none = g.spark.createDataFrame([], "entity_id string, summary string")
+    return extraction.summarise_with(turns(g), none, heads, 3)
 
 
 def heuristic_payloads(g):
@@ -576,7 +578,67 @@ def maintenance_summary(g):
     return row.select("graph_id", "mined_candidates", "duplicate_candidates", "new_facts", weights.alias("weights"))
 
 
-@query("V2_maintenance_pass")
+@query("V2_maintenance_pass", MAINTAINED.replace("SELECT 'tpch' AS graph_id, (", f"SELECT 'tpch' AS graph_id, true AS reasoning_ran, CAST({ROUNDS} AS BIGINT) AS iterations, 'fixpoint' AS converged_by, ("))
 def maintenance_pass(g):
-    """The report line of one pass."""
-    return maintenance.summary_text(maintenance_run(g)[3])
+    return ran(maintenance_run(g)[3])
+
+
+def ran(rows):
+    weights = F.array_join(F.transform(F.map_entries("active_rule_weights"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return rows.select("graph_id", "reasoning_ran", "iterations", "converged_by", "mined_candidates", "duplicate_candidates", "new_facts", weights.alias("weights"))
+
+
+@query("Y2_streamed_maintenance", MAINTAINED.replace("SELECT 'tpch' AS graph_id, (", f"SELECT 'tpch' AS graph_id, true AS reasoning_ran, CAST({ROUNDS} AS BIGINT) AS iterations, 'fixpoint' AS converged_by, ("))
+def streamed_maintenance(g):
+    """The runs of the graphs whose schedule is due: of the stored graph, not of users whose schedule is off or not due."""
+    from knotwork.operators.review import schedules
+    from knotwork.streaming import jobs
+
+    base = f"{ensure_checkpoint_dir(g.spark)}/schedule-{uuid.uuid4().hex}"
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    users = g.table("events").select("user_id").distinct().select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("graph_id"), (F.col("user_id") % 2 == 0).alias("enabled"),
+        F.lit(60).cast("bigint").alias("interval_minutes"), F.when(F.col("user_id") % 2 == 0, now).alias("last_run_at"),
+    )
+    own = g.spark.range(1).select(F.lit("tpch").alias("graph_id"), F.lit(True).alias("enabled"), F.lit(30).cast("bigint").alias("interval_minutes"), F.lit(None).cast("timestamp").alias("last_run_at"))
+    config = own.unionByName(users)
+    schedules(config.select("graph_id"), config).repartition(2).write.parquet(f"{base}/in")
+
+    def graph(name):
+        return nodes_of(g), g.edges, g.rules, g.ontology, covered(g), labelled_vectors(g)
+
+    def run(due, number):
+        maintenance.maintain_due(due, graph, f"{base}/runs", number)
+
+    schema = "graph_id string, enabled boolean, interval_minutes bigint, last_run_at timestamp"
+    jobs.stream_maintenance(g.spark, f"{base}/in", schema, f"{base}/state", now, run)
+    return ran(g.spark.read.option("basePath", f"{base}/runs").parquet(f"{base}/runs/batch=*"))
+
+
+GRAPHS = """
+hits AS (
+  SELECT conv_id % 3 AS g, 1 AS source, 'chat_message' AS kind, 'm-' || conv_id || '-' || turn AS id, lower(text) AS t, CAST(turn AS BIGINT) AS seq FROM conversations
+  UNION ALL SELECT doc_id % 3, 2, 'entity_summary', 'doc-' || doc_id, lower(text), 0 FROM documents WHERE text IS NOT NULL),
+asked AS (SELECT * FROM (VALUES (0, 'q0', 0, 'Reaux', 3), (0, 'q0', 1, 'entre', 3), (0, 'q0', 2, 'zzzzz', 3), (0, 'q1', 0, 'tion', 1), (1, 'q0', 0, 'entre', 2), (1, 'q0', 1, 'tion', 2)) x(g, q, term, word, n)),
+met AS (SELECT h.g, q, term, n, source, kind, id, row_number() OVER (PARTITION BY h.g, q, term, source ORDER BY seq DESC, id) AS pos
+        FROM hits h JOIN asked a ON a.g = h.g AND contains(t, lower(word)) QUALIFY pos <= 10),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g, q, term ORDER BY source, pos) AS place FROM met QUALIFY place <= 10),
+firsts AS (SELECT g, q, id, arg_min(kind, (term, place)) AS kind, min((term, place)) AS k FROM placed GROUP BY 1, 2, 3)"""
+
+
+@query("K4_questions_by_graph", f"""
+WITH {GRAPHS} SELECT 'g' || f.g AS graph_id, f.q AS question_id, id, kind, CAST(row_number() OVER (PARTITION BY f.g, f.q ORDER BY k) AS BIGINT) AS rank, round(c, 6) AS confidence
+FROM firsts f JOIN (SELECT g, q, count(DISTINCT term) / max(n) AS c FROM placed GROUP BY 1, 2) s ON s.g = f.g AND s.q = f.q QUALIFY rank <= 10""")
+def questions_by_graph(g):
+    asked = g.spark.createDataFrame(
+        [("g0", "q0", "What did I ask about the Reaux, entre or zzzzz before?"), ("g0", "q1", "tion"), ("g1", "q0", "about entre and tion"), ("g9", "q0", "tion")],
+        "graph_id string, question_id string, question string",
+    )
+    messages = g.table("conversations").select(
+        F.concat(F.lit("g"), (F.col("conv_id") % 3).cast("string")).alias("graph_id"), F.concat_ws("-", F.lit("m"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.col("text").alias("content"), F.col("turn").cast("bigint").alias("seq"),
+    )
+    texts = g.table("documents").select(
+        F.concat(F.lit("g"), (F.col("doc_id") % 3).cast("string")).alias("graph_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("summary")
+    )
+    return recall.recall_questions(messages, texts, asked).withColumn("confidence", F.round("confidence", 6))
