@@ -3,11 +3,16 @@
 Every run of consecutive sentences is hashed (the fewest sentences from each start, and to each end, that are two at
 least and hold twelve words). Hashes that occur more than once are found by one aggregate over all documents; the first occurrence,
 by doc_id, text hash and place, stays, and the sentences of all others go.
+
+Sentences of more than ``LONG`` words are cut into pieces that count as sentences. A piece begins at the least word, the
+last of equal ones, of some window of ``WINDOW`` words, so equal stretches of text are cut at equal words and pieces are
+no longer than the window. A passage of 50 words therefore holds a run wherever its sentences begin and end, and if it has no end mark.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -17,19 +22,46 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from knotwork.llm.common import map_texts, settled, stored
 
 SENTENCES, WORDS = 2, 12
+LONG, WINDOW = 16, 10
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences that have a character other than white space; text between them is white space."""
+    """(start, end) of the sentences, and pieces of long ones, that are not blank; text between them is white space."""
     found, at = [], 0
     for gap in _BREAK.finditer(text):
-        if text[at : gap.start()].strip():
-            found.append((at, gap.start()))
+        found += pieces(text, at, gap.start())
         at = gap.end()
-    if text[at:].strip():
-        found.append((at, len(text)))
-    return found
+    return found + pieces(text, at, len(text))
+
+
+def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The sentence of ``text`` from ``start`` to ``end``, or its pieces."""
+    words = text[start:end].split()
+    if len(words) <= LONG:
+        return [(start, end)] if words else []
+    begins, least = [0], 0
+    for last in range(1, len(words)):
+        if least == last - WINDOW:  # the least has left the window
+            least += 1
+            for i in range(least + 1, last + 1):
+                if words[i] <= words[least]:
+                    least = i
+        elif words[last] <= words[least]:
+            least = last
+        if last >= WINDOW - 1 and least > begins[-1]:
+            begins.append(least)
+    places = list(accumulate(map(len, words), initial=start))
+    if text.startswith(" ".join(words), start):
+        cuts = [places[b] + b for b in begins]
+    else:
+        at, cuts = start, []
+        for number, word in enumerate(words):
+            at = text.index(word, at)
+            if len(cuts) < len(begins) and number == begins[len(cuts)]:
+                cuts.append(at)
+            at += len(word)
+    return [(a, a + len(text[a:b].rstrip())) for a, b in zip(cuts, cuts[1:])] + [(cuts[-1], end)]
 
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:

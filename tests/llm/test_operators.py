@@ -487,6 +487,32 @@ def test_tree_matching():
         assert len(pairs) == slow(a, b) and len(set(pairs.values())) == len(pairs)
 
 
+def test_passages_without_end_marks(spark):
+    rng = random.Random(33)
+
+    def unlike(n):
+        return " ".join(f"w{rng.randrange(10**6)}x" for _ in range(n))
+
+    for size in (50, 80):
+        passage = unlike(size)
+        made = [f"{unlike(rng.randrange(3, 40))} {passage} {unlike(rng.randrange(3, 40))}" for _ in range(12)] + [unlike(90) for _ in range(5)]
+        made += [f"{unlike(7)}. {passage}. {unlike(9)}.", passage]
+        got = {r["doc_id"]: r for r in spans.without_repeats(spark.createDataFrame(list(enumerate(made)), "doc_id bigint, text string")).collect()}
+        assert got[0]["text"] == made[0] and all(got[i]["text"] == made[i] for i in range(12, 17))
+        for i in [*range(1, 12), 17, 18]:
+            left = len(got[i]["text"].split())
+            assert got[i]["n_removed"] > 1 and len(made[i].split()) - left >= size - 2 * spans.WINDOW
+    # sentences of the passage that end elsewhere in the other text
+    a, b, c = unlike(36).split(), unlike(33).split(), unlike(21).split()
+    one = " ".join([*a, *b, *c])
+    other = f"{unlike(5)} {' '.join(a[6:])}. {' '.join(b)} {' '.join(c[:15])}. {unlike(4)}"
+    got = {r["doc_id"]: r for r in spans.without_repeats(spark.createDataFrame([(1, one), (2, other)], "doc_id bigint, text string")).collect()}
+    assert got[1]["text"] == one and got[2]["n_removed"] > 2
+    text = "  " + unlike(30) + "\t" + unlike(30) + "  \n end "
+    assert [w for s, e in spans.sentences(text) for w in text[s:e].split()] == text.split()
+    assert max(len(text[s:e].split()) for s, e in spans.sentences(text)) <= spans.WINDOW
+
+
 def test_tree_matching_of_deep_and_wide_pages():
     deep = "<div>" * 100_000 + "x"
     tree = pages.parse(deep)
