@@ -16,6 +16,7 @@ RECALL_STOPWORDS = [
     "has", "the", "this", "that", "said", "conversation",
 ]
 LABEL_OVERLAP = 0.6
+# Fixed value: where the narrative of a filing begins.
 NARRATIVE_MARKER = "item 1."
 
 

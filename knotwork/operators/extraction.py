@@ -182,6 +182,7 @@ def ungrounded_claims(replies: DataFrame) -> DataFrame:
     sentences = F.filter(F.transform(F.split("reply", r"(?U)(?<=[.!?])\s+"), lambda s: F.btrim(s, F.lit(" \t\n\r"))), lambda s: s != "")
     rows = replies.select("id", F.lower("grounding").alias("g"), F.posexplode(sentences).alias("pos", "sentence"))
     adjusted = F.concat(F.lower(F.substring("sentence", 1, 1)), F.substr("sentence", F.lit(2)))
+    # The patterns of phrases and numbers that count as claims.
     phrases = F.regexp_extract_all(adjusted, F.lit(r"(?U)(\b[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)+\b)"), 1)
     numbers = F.regexp_extract_all(adjusted, F.lit(r"(?U)(\b\d[\d,.]{2,}\b)"), 1)
     novel = F.exists(F.concat(phrases, numbers), lambda t: ~F.contains("g", F.lower(t)))

@@ -47,14 +47,27 @@ def vector_recall(queries: DataFrame, items: DataFrame, limit: int = LIMIT) -> D
     )
 
 
-def merge_hits(parts: list[DataFrame], limit: int) -> DataFrame:
-    """Hits ``(id, pos, ...)`` of several sources in order, first one per id, cut to the limit."""
-    rows = None
+def merge_hits(parts: list[DataFrame], limit: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Hits ``(id, pos, ...)`` of several sources in order, first one per id, cut to the limit; for each of ``keys``, if any."""
+    rows, own = None, list(keys) or ["_all"]
     for n, part in enumerate(parts):
-        part = part.select("id", "kind", F.lit(n).alias("part"), F.col("pos").cast("bigint").alias("pos"))
+        part = part if keys else part.withColumn("_all", F.lit(0))
+        part = part.select(*own, "id", "kind", F.lit(n).alias("part"), F.col("pos").cast("bigint").alias("pos"))
         rows = part if rows is None else rows.unionByName(part)
-    first = keep_first(rows, ["id"], ["part", "pos"])
-    return top_k(first.withColumn("_all", F.lit(0)), ["_all"], [F.asc("part"), F.asc("pos"), F.asc("id")], limit, "rank").drop("_all")
+    first = keep_first(rows, [*own, "id"], ["part", "pos"])
+    return top_k(first, own, [F.asc("part"), F.asc("pos"), F.asc("id")], limit, "rank").drop("_all")
+
+
+def hybrid_by_query(messages, summaries, text: str, queries: DataFrame, entity_hits: DataFrame, message_hits: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``hybrid_recall`` for every row of ``queries`` (query_id); the vector hits carry a query_id.
+
+    The keyword hits, at most twice the limit, are the same for all of them.
+    """
+    words = keyword_recall(messages, summaries, text, limit)
+    ordered = words.select("id", "kind", (F.col("source") * F.lit(limit) + F.col("pos")).alias("pos"), F.lit(0).alias("_k"))
+    every = queries.select("query_id", F.lit(0).alias("_k")).join(ordered, "_k").drop("_k")
+    parts = [every, entity_hits.withColumn("kind", F.lit("entity_summary")), message_hits.withColumn("kind", F.lit("chat_message"))]
+    return merge_hits(parts, limit, ("query_id",))
 
 
 def hybrid_recall(messages, summaries, text: str, entity_hits: DataFrame, message_hits: DataFrame, limit: int = LIMIT) -> DataFrame:

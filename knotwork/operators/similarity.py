@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.operators.loop import cut
 from knotwork.operators.projection import neighbour_pairs
 from knotwork.operators.ranking import number_rows
+from knotwork.operators.searches import PART, Links
 
 
 def _common(pairs: DataFrame, near: DataFrame) -> DataFrame:
@@ -54,13 +57,15 @@ def _score(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return out.select("u", "v", F.when(union > 0, F.col("common") / union).otherwise(F.lit(0.0)).alias("score"))
 
 
-def similar_pairs(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
+def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART) -> DataFrame:
     """All pairs u < v with Jaccard at or above the threshold, without trying all pairs.
 
     Neighbours are ordered from rare to common. Two sets that are similar enough share one of the
     first ``n - ceil(t n) + 1`` of each, so only those heads are joined. What they can share
     beyond their heads is at most the longer tail, so most pairs drop out by their head count
-    before the exact count. With a threshold of 0 or less every pair would qualify.
+    before the exact count. Heads meet within neighbouring size buckets alone, as sets of very unlike size are not
+    similar; what meets on a neighbour that very many share is dealt into parts. With a threshold of 0 or less every
+    pair would qualify.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -71,9 +76,13 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5) -> DataFrame:
     ranked = number_rows(near.join(common, "b"), ["a"], ["f", "b"], "pos").join(sizes, "a")
     kept = F.least(F.col("n"), F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
     head = cut(ranked.filter(F.col("pos") <= kept).select("a", "b", "n", (F.col("n") - kept).alias("tail")))
-    u = head.select(F.col("a").alias("u"), "b", F.col("n").alias("nu"), F.col("tail").alias("tu"))
-    v = head.select(F.col("a").alias("v"), "b", F.col("n").alias("nv"), F.col("tail").alias("tv"))
-    met = u.join(v, "b").filter(
+    # Sizes in a ratio of at least the threshold lie in the same bucket or in neighbouring ones.
+    bucket = F.floor(F.ln("n") / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("n")
+    sized = head.withColumn("_k", bucket.cast("bigint"))
+    there = Links(sized.select(F.struct("b", F.col("_k").alias("k")).alias("source"), F.col("a").alias("v"), F.col("n").alias("nv"), F.col("tail").alias("tv")), most)
+    around = sized.withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
+    here = around.select(F.struct("b", F.col("_k").alias("k")).alias("source"), F.col("a").alias("u"), F.col("n").alias("nu"), F.col("tail").alias("tu"))
+    met = there.meet(here).filter(
         (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9)
     ).groupBy("u", "v", "nu", "nv", "tu", "tv").agg(F.count("*").alias("c"))
     need = t / (t + 1) * (F.col("nu") + F.col("nv")) - 1e-9

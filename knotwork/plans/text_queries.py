@@ -422,6 +422,21 @@ def hybrid_recall(g):
     return hybrid(g).select("id", "kind", "rank")
 
 
+@query("K3_hybrid_by_query", f"""
+WITH {words_sql('tion', 25)}, {CENTROIDS}, v AS (SELECT query_id, id, rank FROM best WHERE rank <= 8),
+every AS (SELECT query_id, id, kind, 0 AS part, source * 25 + pos AS pos FROM words, (SELECT DISTINCT query_id FROM v) UNION ALL SELECT query_id, id, 'entity_summary', 1, rank FROM v
+          UNION ALL SELECT query_id, CASE WHEN rank % 2 = 0 THEN id ELSE 'm' || id END, 'chat_message', 2, rank FROM v),
+firsts AS (SELECT query_id, id, arg_min(kind, (part, pos)) AS kind, min((part, pos)) AS k FROM every GROUP BY 1, 2)
+SELECT query_id, id, kind, CAST(row_number() OVER (PARTITION BY query_id ORDER BY k, id) AS BIGINT) AS rank FROM firsts QUALIFY rank <= 25""")
+def hybrid_by_query(g):
+    asked = cut(centroids(g))
+    hits = cut(recall.vector_recall(asked, g.vectors, 8))
+    entity = hits.select("query_id", "id", F.col("rank").alias("pos"))
+    message = hits.select("query_id", F.when(F.col("rank") % 2 == 0, F.col("id")).otherwise(F.concat(F.lit("m"), "id")).alias("id"), F.col("rank").alias("pos"))
+    found = recall.hybrid_by_query(g.messages, summaries(g), "tion", asked.select(F.col("id").alias("query_id")), entity, message, 25)
+    return found.select("query_id", "id", "kind", "rank")
+
+
 @query("U3_merged_hits", """
 WITH e AS (SELECT 'u' || user_id AS id, event_type AS kind, CASE event_type WHEN 'click' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS part, event_id AS pos FROM events),
 f AS (SELECT id, arg_min(kind, (part, pos)) AS kind, min((part, pos)) AS k FROM e GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import local_name
 
+# Names of the OWL, RDF and RDFS vocabularies.
 OWL_CLASS = "http://www.w3.org/2002/07/owl#Class"
 OWL_PROPERTIES = [
     "http://www.w3.org/2002/07/owl#ObjectProperty",

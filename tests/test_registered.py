@@ -12,7 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 NAMES = [
     "S4_triples", "S7_load_ontology", "F9_manual_rows", "J1_pattern_single", "A3_noisy_or", "B1_upsert_edges", "W1_message_numbers",
     "R2_inference_trace", "G0_projection", "G5_closeness", "X5_materialization", "X9_ungrounded_claims", "E3_duplicate_candidates",
-    "K6_ranked_search", "V4_grades", "Y1_streamed_edges",
+    "K6_ranked_search", "V4_grades", "Y1_streamed_edges", "F5_set_properties", "R11_saved_run", "G11_diameter", "K4_questions_by_graph", "X7_latest_summaries",
+    "K3_hybrid_by_query", "G14_similar_pairs",
 ]
 
 
