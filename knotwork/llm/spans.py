@@ -22,7 +22,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from knotwork.llm.common import map_texts, settled, stored
 
 SENTENCES, WORDS = 2, 12
-LONG, WINDOW = 16, 10
+LONG, WINDOW = 16, 16
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
 
 
