@@ -22,13 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet into the shared checkpoint folder and read back.
 
-    Cuts the lineage as a checkpoint does, but takes less disk and reads single columns. The folder goes when the
-    driver's Python ends.
+    Cuts the lineage as a checkpoint does, but takes less disk and reads single columns. The folder, ``path`` if it is
+    named, goes when the driver's Python ends.
     """
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,12 +49,16 @@ def settled(df: DataFrame) -> DataFrame:
     return done
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _remove() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            removed(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; its shared folder is the cluster's to clear
             return
 

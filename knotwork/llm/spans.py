@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from knotwork.llm.common import map_texts, settled, stored
+from knotwork.llm.common import map_texts, removed, scratch, settled, stored
 
 SENTENCES, WORDS = 2, 12
 LONG, WINDOW = 16, 16
@@ -65,7 +65,7 @@ def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:
-    """(high hash, low hash, first sentence, number of sentences) of every run; white space is read as one space."""
+    """(64 and 32 bits of hash, first sentence, number of sentences) of every run; white space is read as one space."""
     plain = [text[a:b].split() for a, b in sentences(text)]
     counts = [len(p) for p in plain]
     joined = [" ".join(p) for p in plain]
@@ -90,29 +90,33 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
     out = []
     for start, end in sorted(found):
         both = xxhash.xxh3_128_intdigest("\n".join(joined[start:end]).encode("utf-8", "surrogatepass"))
-        out.append((_signed(both >> 64), _signed(both & (1 << 64) - 1), start, end - start))
+        out.append((_signed(both >> 64, 64), _signed(both & (1 << 32) - 1, 32), start, end - start))
     return out
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _signed(x: int, bits: int) -> int:
+    return x - (1 << bits) if x >> bits - 1 else x
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, cuts): for every document with non-first repeated runs, their (first sentence, number)."""
     digest = F.xxhash64("text").alias("digest")
+    spark, path = docs.sparkSession, scratch(docs.sparkSession)
     found = stored(
         map_texts(
             docs.select(F.col("doc_id").cast("bigint"), digest, "text"), ["doc_id", "digest"], lambda texts: {"runs": [[dict(zip("hlan", r)) for r in runs(t or "")] for t in texts]},
-            "runs array<struct<h: bigint, l: bigint, a: int, n: int>>",
-        )
+            "runs array<struct<h: bigint, l: int, a: int, n: int>>",
+        ),
+        path,
     )
     each = found.select("doc_id", "digest", F.inline("runs"))
     place = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest", "a")
     again = each.groupBy("h", "l").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
     later = each.join(settled(again), ["h", "l"]).filter(place != F.col("first"))
     found = later.select("doc_id", "digest", "a", "n").distinct().groupBy("doc_id", "digest")
-    return settled(found.agg(F.collect_list(F.struct("a", "n")).alias("cuts")))
+    cuts = settled(found.agg(F.collect_list(F.struct("a", "n")).alias("cuts")))
+    removed(spark, path)
+    return cuts
 
 
 def _kept(text: str, cuts: list) -> tuple[str, int, int]:
