@@ -44,7 +44,8 @@ def scratch(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """``df`` stored, and the shuffle files of what led to it given back at once.
 
-    On a cluster the scheduler holds on to the last job it ran, so a job of one row follows before the collection.
+    With several executors the files of the last job were seen to stay until another job had run, so a job of one row
+    follows before the collection.
     """
     done = stored(df)
     df.sparkSession.range(0, 1, 1, 1).collect()
