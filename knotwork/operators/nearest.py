@@ -44,7 +44,7 @@ def _chunks(rows: DataFrame, pivots: DataFrame, chunk: int) -> DataFrame:
                 n = len(r.ids)
                 m = np.asarray(r.flat, dtype="float64").reshape(n, -1)
                 p = np.asarray(r.pivots, dtype="float64").reshape(r.p, -1)
-                d = np.sqrt(np.maximum((m * m).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * m @ p.T, 0.0))
+                d = np.stack([np.sqrt(((m - q) ** 2).sum(1)) for q in p], axis=1)
                 out.append((r.space, r.chunk, list(r.ids), m.tobytes(), n, list(d.min(0) - 1e-6), list(d.max(0) + 1e-6)))
             yield pd.DataFrame(out, columns=["space", "chunk", "ids", "matrix", "n", "lo", "hi"])
 
@@ -55,12 +55,15 @@ def _chunks(rows: DataFrame, pivots: DataFrame, chunk: int) -> DataFrame:
 def _best(a: np.ndarray, b: np.ndarray, k: int):
     """Row, column and distance of the k nearest columns of each row; near ties are measured exactly."""
     b2 = (b * b).sum(1)
+    # What the expanded square may be off by: long vectors that lie close to each other cancel out.
+    slip = 8 * np.finfo("float64").eps * (a.shape[1] + 4)
     for start in range(0, len(a), ROWS_AT_ONCE):
         part = a[start:start + ROWS_AT_ONCE]
-        d2 = (part * part).sum(1)[:, None] + b2[None, :] - 2 * part @ b.T
+        a2 = (part * part).sum(1)[:, None]
+        d2 = a2 + b2[None, :] - 2 * part @ b.T
         if d2.shape[1] > k:
             limit = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
-            keep = d2 <= limit + 1e-9 * (1.0 + np.abs(limit))
+            keep = d2 <= limit + 1e-9 * (1.0 + np.abs(limit)) + slip * (a2 + b2.max())
         else:
             keep = np.ones_like(d2, dtype=bool)
         i, j = np.nonzero(keep)

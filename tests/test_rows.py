@@ -164,6 +164,18 @@ def test_model_seams(spark):
     assert got["summary"] == "old|s0 s1|s2 s3|s4"
 
 
+def test_nearest_ties_of_long_vectors(spark):
+    """Two neighbours at the same distance on either side, far from zero: the smaller id is the nearest."""
+    rng = np.random.default_rng(7)
+    far = [rng.integers(100_000, 999_999) / 100 for _ in range(60)]
+    for x in far:
+        a = np.array([[x, 3.0]])
+        b = np.array([[round(x + 0.05, 2), 3.0], [round(x - 0.05, 2), 3.0]] + [[x + 5 + i, 4.0] for i in range(40)])
+        dist = np.round(np.sqrt(((a - b) ** 2).sum(1)), 9)
+        (_, j, d), = nearest._best(a, b, 1)
+        assert (j[0], d[0]) == (dist.argmin(), dist.min())
+
+
 def test_nearest_brute(spark):
     rng = np.random.default_rng(7)
     points = rng.normal(size=(150, 6)).round(2)
