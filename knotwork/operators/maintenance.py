@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from knotwork.operators.loop import cut
+from knotwork.operators.loop import cut, stored
 from knotwork.operators.mining import mine_candidates
 from knotwork.operators.ontology import label_closure
 from knotwork.operators.reasoning import Reasoning, run_reasoning
@@ -37,7 +37,7 @@ def run_maintenance(graph_id: str, nodes, edges, rules, onto: Ontology, covered:
 
     Every output has ids built from its content, so a second pass gives the same rows.
     """
-    nodes, edges = cut(nodes), cut(edges)
+    nodes, edges = stored(nodes), stored(edges)
     mined = cut(mine_candidates(nodes, edges, covered, **settings))
     result = None if nodes.isEmpty() else run_reasoning(nodes, edges, rules, onto)
     duplicates = cut(duplicate_candidates(vectors, label_closure(onto)))
