@@ -6,47 +6,54 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from knotwork.operators.loop import cut
+from knotwork.operators.loop import stored
 from knotwork.operators.projection import neighbour_pairs
 from knotwork.operators.ranking import number_rows
 from knotwork.operators.searches import PART, Links
 
 
-def _common(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """(u, v, w): common neighbours of each pair, the pair itself left out."""
-    return (
-        pairs.select("u", "v").distinct()
-        .join(near.select(F.col("a").alias("u"), F.col("b").alias("w")), "u")
-        .join(near.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi")
-        .filter((F.col("w") != F.col("u")) & (F.col("w") != F.col("v")))
-    )
+#: Neighbours that one row of a list may have.
+CHUNK = 1 << 20
 
 
-def _sizes(near: DataFrame) -> DataFrame:
-    return near.groupBy("a").agg(F.count("*").alias("n"))
+def _met(pairs: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v, chunk, both, common) of each pair that shares neighbours, and their numbers (b, w).
+
+    Neighbours are numbered and listed by node and chunk of numbers, so a pair carries a few bytes for each neighbour
+    instead of a row, and a hub has as many lists as it takes. ``common`` leaves the pair itself out.
+    """
+    ends = pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct()
+    mine = stored(near.join(ends, "a", "left_semi"))
+    numbers = stored(number_rows(mine.select("b").distinct(), [], ["b"], "w", start=0))
+    chunk, place = F.floor(F.col("w") / CHUNK).cast("int"), (F.col("w") % CHUNK).cast("int")
+    lists = stored(mine.join(numbers, "b").groupBy("a", chunk.alias("chunk")).agg(F.collect_list(place).alias("ws")))
+    for end in ("u", "v"):
+        pairs = pairs.join(numbers.select(F.col("b").alias(end), F.col("w").alias(f"_{end}")), end, "left")
+    both = pairs.join(lists.select(F.col("a").alias("u"), "chunk", F.col("ws").alias("wu")), "u").join(
+        lists.select(F.col("a").alias("v"), "chunk", F.col("ws").alias("wv")), ["v", "chunk"]
+    ).withColumn("both", F.array_intersect("wu", "wv")).filter(F.size("both") > 0)
+    own = F.array(*[F.when(F.floor(F.col(c) / CHUNK) == F.col("chunk"), (F.col(c) % CHUNK).cast("int")) for c in ("_u", "_v")])
+    return both.select("u", "v", "chunk", "both", F.array_except("both", own).alias("common")), numbers
+
+
+def shared_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v, shared): number of common neighbours of the given pairs that have some, the pair itself left out."""
+    met, _ = _met(stored(pairs.select("u", "v").distinct()), stored(neighbour_pairs(edges)))
+    return met.groupBy("u", "v").agg(F.sum(F.size("common")).alias("shared")).filter(F.col("shared") > 0)
 
 
-def _plain_common(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """Size of the plain intersection, needed for the size of the union."""
-    return (
-        pairs.select("u", "v").join(near.select(F.col("a").alias("u"), F.col("b").alias("w")), "u")
-        .join(near.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"], "left_semi")
-        .groupBy("u", "v").agg(
-            F.count("*").alias("both"),
-            F.count_if((F.col("w") != F.col("u")) & (F.col("w") != F.col("v"))).alias("common"),
-        )
-    )
+def _sizes(near: DataFrame) -> DataFrame:
+    return near.groupBy("a").agg(F.count("*").alias("n"))
 
 
 def jaccard_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Jaccard of the neighbour sets of given pairs (u, v); 0 if both are empty."""
-    near = cut(neighbour_pairs(edges))
-    return _score(pairs.select("u", "v").distinct(), near)
+    return _score(stored(pairs.select("u", "v").distinct()), stored(neighbour_pairs(edges)))
 
 
 def _score(pairs: DataFrame, near: DataFrame) -> DataFrame:
     sizes = _sizes(near)
-    shared = _plain_common(pairs, near)
+    shared = _met(pairs, near)[0].groupBy("u", "v").agg(F.sum(F.size("both")).alias("both"), F.sum(F.size("common")).alias("common"))
     out = (
         pairs.join(shared, ["u", "v"], "left")
         .join(sizes.select(F.col("a").alias("u"), F.col("n").alias("nu")), "u", "left")
@@ -70,12 +77,12 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART) ->
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     t = F.lit(float(threshold))
-    near = cut(neighbour_pairs(edges))
+    near = stored(neighbour_pairs(edges))
     sizes = _sizes(near)
     common = near.groupBy("b").agg(F.count("*").alias("f"))
     ranked = number_rows(near.join(common, "b"), ["a"], ["f", "b"], "pos").join(sizes, "a")
     kept = F.least(F.col("n"), F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
-    head = cut(ranked.filter(F.col("pos") <= kept).select("a", "b", "n", (F.col("n") - kept).alias("tail")))
+    head = stored(ranked.filter(F.col("pos") <= kept).select("a", "b", "n", (F.col("n") - kept).alias("tail")))
     # Sizes in a ratio of at least the threshold lie in the same bucket or in neighbouring ones.
     bucket = F.floor(F.ln("n") / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("n")
     sized = head.withColumn("_k", bucket.cast("bigint"))
@@ -86,14 +93,18 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART) ->
         (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9)
     ).groupBy("u", "v", "nu", "nv", "tu", "tv").agg(F.count("*").alias("c"))
     need = t / (t + 1) * (F.col("nu") + F.col("nv")) - 1e-9
-    pairs = cut(met.filter(F.col("c") + F.greatest("tu", "tv") >= need).select("u", "v"))
+    pairs = stored(met.filter(F.col("c") + F.greatest("tu", "tv") >= need).select("u", "v"))
     return _score(pairs, near).filter(F.col("score") >= t)
 
 
 def adamic_adar(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sum of 1 / ln(degree) over the common neighbours of given pairs; a loop adds two to a degree."""
-    near = cut(neighbour_pairs(edges))
+    near = stored(neighbour_pairs(edges))
     degree = near.groupBy(F.col("a").alias("w")).agg((F.count("*") + F.count_if(F.col("a") == F.col("b"))).alias("d"))
     value = F.sum(F.lit(1.0) / F.ln("d")).alias("score")
-    got = _common(pairs, near).join(degree, "w").groupBy("u", "v").agg(value)
-    return pairs.select("u", "v").distinct().join(got, ["u", "v"], "left").select("u", "v", F.coalesce("score", F.lit(0.0)).alias("score"))
+    pairs = stored(pairs.select("u", "v").distinct())
+    met, numbers = _met(pairs, near)
+    degree = numbers.join(degree.withColumnRenamed("w", "b"), "b").select("w", "d")
+    each = met.select("u", "v", "chunk", F.explode("common").alias("_w")).select("u", "v", (F.col("chunk").cast("bigint") * CHUNK + F.col("_w")).alias("w"))
+    got = each.join(degree, "w").groupBy("u", "v").agg(value)
+    return pairs.join(got, ["u", "v"], "left").select("u", "v", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -258,3 +258,19 @@ def test_pagerank_says_when_it_does_not_rest(make):
     nodes, edges = make.nodes([("a", "T"), ("b", "T"), ("c", "T")]), make.edges([("a", "b"), ("b", "c"), ("c", "b")])
     with pt.raises(centrality.NotConvergedError):
         centrality.pagerank(nodes, edges, max_rounds=1)
+
+
+def test_shared_neighbours_in_chunks(make, monkeypatch):
+    """Lists cut into chunks, with loops: the pair itself is no common neighbour, but counts in the union."""
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), ("a", "x"), ("b", "x"), ("a", "y"), ("b", "y"), ("b", "z"), ("c", "z")]
+    edges, pairs = make.edges(rows), make.edges([("a", "b"), ("a", "c"), ("b", "c")]).selectExpr("source AS u", "target AS v")
+    near = {}
+    for s, t in rows:
+        near.setdefault(s, set()).add(t)
+        near.setdefault(t, set()).add(s)
+    common = {(u, v): (near[u] & near[v]) - {u, v} for u, v in (("a", "b"), ("a", "c"), ("b", "c"))}
+    for chunk in (1, 2, 1 << 20):
+        monkeypatch.setattr(similarity, "CHUNK", chunk)
+        assert {(r["u"], r["v"]): r["shared"] for r in similarity.shared_neighbours(edges, pairs).collect()} == {k: len(w) for k, w in common.items() if w}
+        got = {(r["u"], r["v"]): r["score"] for r in similarity.jaccard_pairs(edges, pairs).collect()}
+        assert got == {(u, v): len(common[u, v]) / len(near[u] | near[v]) for u, v in common}
