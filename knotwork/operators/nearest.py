@@ -1,8 +1,9 @@
 """Exact nearest neighbours without a pair table.
 
 Vectors are sorted by distance to a pivot and cut into chunks of bounded size. Chunk pairs whose
-distance bounds rule out a hit are dropped (triangle inequality over a few pivots); each pair
-left is one matrix product inside a task that returns at most k rows per vector.
+distance bounds rule out a hit are dropped (triangle inequality over a few pivots); the pairs
+left meet in bounded stretches of chunks, each pair as one matrix product inside a task that
+returns at most k rows per vector.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from knotwork.operators.ranking import number_rows, top_k
 CHUNK, SMALLEST, CHUNKS = 4096, 32, 64
 PIVOTS = 16
 ROWS_AT_ONCE = 64
+#: Chunks of either side that meet in one task at most, and the stretches of chunks that a table has unless they would be longer.
+STRETCH, STRETCHES = 16, 8
 
 
 def _chunks(rows: DataFrame, pivots: DataFrame, chunk: int) -> DataFrame:
@@ -106,28 +109,35 @@ def nearest(left: DataFrame, right: DataFrame, k: int, farthest: float | None =
     kept = bounds.join(reach, ["space", "ca"]).filter(F.col("reach").isNull() | (F.col("least") <= F.col("reach")))
     if farthest is not None:
         kept = kept.filter(F.col("least") <= farthest)
-    work = (
-        kept.select("space", "ca", "cb")
-        .join(a.select("space", F.col("chunk").alias("ca"), F.col("ids").alias("aids"), F.col("matrix").alias("am")), ["space", "ca"])
-        .join(b.select("space", F.col("chunk").alias("cb"), F.col("ids").alias("bids"), F.col("matrix").alias("bm")), ["space", "cb"])
-        .select("aids", "am", "bids", "bm")
+    # A stretch of chunks meets a stretch in one task: a chunk is sent once for each stretch it meets, not for each chunk.
+    stretch = min(STRETCH, max(1, math.ceil(seen["n"] / chunk / STRETCHES)))
+    kept = cut(kept.select("space", "ca", "cb", F.floor(F.col("ca") / stretch).alias("sa"), F.floor(F.col("cb") / stretch).alias("sb")))
+    asks = kept.groupBy("space", "sa", "sb", "ca").agg(F.array_sort(F.collect_set("cb")).alias("cbs")).join(
+        a.select("space", F.col("chunk").alias("ca"), "ids", "matrix"), ["space", "ca"]
+    )
+    offers = kept.select(*[F.col(c).alias(c) for c in ("space", "sa", "sb", "cb")]).distinct().join(
+        b.select("space", F.col("chunk").alias("cb"), F.col("ids").alias("bids"), F.col("matrix").alias("bm")), ["space", "cb"]
     )
 
-    def match(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                am = np.frombuffer(r.am).reshape(len(r.aids), -1)
-                bm = np.frombuffer(r.bm).reshape(len(r.bids), -1)
-                aids, bids = np.asarray(r.aids, dtype=object), np.asarray(r.bids, dtype=object)
+    def match(asked, offered):
+        held = {r.cb: (np.asarray(r.bids, dtype=object), np.frombuffer(r.bm).reshape(len(r.bids), -1)) for r in offered.itertuples(index=False)}
+        found = []
+        for r in asked.itertuples(index=False):
+            aids, am, parts = np.asarray(r.ids, dtype=object), np.frombuffer(r.matrix).reshape(len(r.ids), -1), []
+            for cb in r.cbs:
+                bids, bm = held[cb]
                 for i, j, dist in _best(am, bm, need):
-                    out = pd.DataFrame({"left_id": aids[i], "right_id": bids[j], "distance": dist})
-                    if same:
-                        out = out[out.left_id != out.right_id]
-                    if farthest is not None:
-                        out = out[out.distance <= farthest]
-                    yield out
-
-    found = work.mapInPandas(match, "left_id string, right_id string, distance double")
+                    part = pd.DataFrame({"left_id": aids[i], "right_id": bids[j], "distance": dist})
+                    parts.append(part[part.distance <= farthest] if farthest is not None else part)
+            near = pd.concat(parts)
+            if same:
+                near = near[near.left_id != near.right_id]
+            found.append(near.sort_values(["left_id", "distance", "right_id"]).groupby("left_id", sort=False).head(k))
+        return pd.concat(found)
+
+    schema, keys = "left_id string, right_id string, distance double", ["space", "sa", "sb"]
+    other = offers.withColumnsRenamed({c: f"_{c}" for c in keys}).groupBy(*[f"_{c}" for c in keys])
+    found = asks.groupBy(*keys).cogroup(other).applyInPandas(match, schema)
     return top_k(found, ["left_id"], [F.asc("distance"), F.asc("right_id")], k)
 
 

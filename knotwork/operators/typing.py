@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from knotwork.operators.projection import neighbour_pairs
 from knotwork.operators.searches import PART, Links
 
 
@@ -19,10 +18,13 @@ def majority(votes: DataFrame) -> DataFrame:
 def majority_vote(nodes: DataFrame, edges: DataFrame, labels: DataFrame, most: int = PART) -> DataFrame:
     """Known labels stay at 1.0; others take the majority of their labelled neighbours, else unknown at 0.
 
-    A labelled hub hands its label on in parts of ``most`` edges; votes are counted in part before they are shuffled.
+    A labelled hub hands its label on in parts of ``most`` edges. Only edges of labelled nodes are looked at for
+    parallel ones, which count once.
     """
-    links = Links(neighbour_pairs(edges).select(F.col("b").alias("source"), F.col("a").alias("target")), most)
-    votes = links.meet(labels.select(F.col("id").alias("source"), "label")).select(F.col("target").alias("id"), "label")
+    arcs = edges.select("source", "target")
+    links = Links(arcs.union(arcs.select("target", "source")), most)
+    met = links.meet(labels.select(F.col("id").alias("source"), "label"))
+    votes = met.select("source", F.col("target").alias("id"), "label").distinct().select("id", "label")
     own = labels.select("id", F.col("label").alias("own"))
     voted = majority(votes.join(own, "id", "left_anti"))
     out = nodes.select("id").join(own, "id", "left").join(voted, "id", "left")
