@@ -23,32 +23,49 @@ from knotwork.llm.common import map_texts, removed, scratch, settled, stored
 
 SENTENCES, WORDS = 2, 12
 LONG, WINDOW = 16, 16
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n\s*")
+#: A break is a line end, or white space after an end mark; the mark leads the match, so that the search can skip to it.
+_BREAK = re.compile(r"[.!?\n](?:(?<=\n)\s*|\s+)")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences, and pieces of long ones, that are not blank; text between them is white space."""
+    return [(start, end) for start, end, _ in _worded(text)]
+
+
+def _worded(text: str) -> list[tuple[int, int, list[str]]]:
+    """``sentences`` with their words."""
     found, at = [], 0
     for gap in _BREAK.finditer(text):
-        found += pieces(text, at, gap.start())
+        stop = gap.start()
+        _pieces(text, at, stop if text[stop] == "\n" else stop + 1, found)
         at = gap.end()
-    return found + pieces(text, at, len(text))
+    _pieces(text, at, len(text), found)
+    return found
 
 
 def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The sentence of ``text`` from ``start`` to ``end``, or its pieces."""
+    found = []
+    _pieces(text, start, end, found)
+    return [(a, b) for a, b, _ in found]
+
+
+def _pieces(text: str, start: int, end: int, found: list) -> None:
     words = text[start:end].split()
     if len(words) <= LONG:
-        return [(start, end)] if words else []
-    begins, least = [0], 0
-    for last in range(1, len(words)):
-        if least == last - WINDOW:  # the least has left the window
-            least += 1
-            for i in range(least + 1, last + 1):
-                if words[i] <= words[least]:
-                    least = i
-        elif words[last] <= words[least]:
-            least = last
+        if words:
+            found.append((start, end, words))
+        return
+    begins, least, low = [0], 0, words[0]
+    for last, word in enumerate(words):
+        if word <= low:
+            least, low = last, word
+        elif last - least == WINDOW:  # the least has left the window
+            held = words[least + 1 : last + 1]
+            low = min(held)
+            least = last - held[::-1].index(low)
+        elif last != WINDOW - 1:
+            continue
         if last >= WINDOW - 1 and least > begins[-1]:
             begins.append(least)
     places = list(accumulate(map(len, words), initial=start))
@@ -61,12 +78,14 @@ def pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
             if len(cuts) < len(begins) and number == begins[len(cuts)]:
                 cuts.append(at)
             at += len(word)
-    return [(a, a + len(text[a:b].rstrip())) for a, b in zip(cuts, cuts[1:])] + [(cuts[-1], end)]
+    for a, z, i, k in zip(cuts, cuts[1:], begins, begins[1:]):
+        found.append((a, a + len(text[a:z].rstrip()), words[i:k]))
+    found.append((cuts[-1], end, words[begins[-1] :]))
 
 
 def runs(text: str) -> list[tuple[int, int, int, int]]:
     """(64 and 32 bits of hash, first sentence, number of sentences) of every run; white space is read as one space."""
-    plain = [text[a:b].split() for a, b in sentences(text)]
+    plain = [words for _, _, words in _worded(text)]
     counts = [len(p) for p in plain]
     joined = [" ".join(p) for p in plain]
     found, end, words = set(), 0, 0

@@ -645,3 +645,33 @@ def test_pipeline(spark, tmp_path, docs, texts):
     assert set(mixed) <= set(ids) and max(mixed.values()) == 2
     assert {r["doc_id"] for r in seen["pack_sequences"]} == set(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["pack_sequences"])
+
+
+def test_spans_cuts_at_the_least_word_of_a_window():
+    """Sentences and pieces as a plain reading of the rule gives them; the breaks are sought by their first character."""
+    import random
+    import re
+
+    from knotwork.llm import spans
+
+    def plain(text):
+        found, at = [], 0
+        for gap in [*re.finditer(r"(?<=[.!?])\s+|\n\s*", text), None]:
+            end = gap.start() if gap else len(text)
+            words = [(m.group(), at + m.start()) for m in re.finditer(r"\S+", text[at:end])]
+            begins = [0] if words else []
+            if len(words) > spans.LONG:
+                for stop in range(spans.WINDOW, len(words) + 1):
+                    least = min(range(stop - spans.WINDOW, stop), key=lambda i: (words[i][0], -i))
+                    begins += [least] if least > begins[-1] else []
+            for i, k in zip(begins, [*begins[1:], None]):
+                first = at if len(words) <= spans.LONG else words[i][1]
+                found.append((first, end if k is None else words[k - 1][1] + len(words[k - 1][0])))
+            at = gap.end() if gap else end
+        return found
+
+    rnd = random.Random(5)
+    for _ in range(400):
+        text = "".join(rnd.choice(["a", "b", "ab", "c", ".", "!", "\n", " ", " ", " ", "\t", "\r\n", "... ", "d e f "]) for _ in range(rnd.randrange(160)))
+        assert spans.sentences(text) == plain(text), text
+        assert [w for _, _, w in spans._worded(text)] == [text[a:b].split() for a, b in spans.sentences(text)]
