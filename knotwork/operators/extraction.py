@@ -16,6 +16,8 @@ from knotwork.sources.ontology import Ontology
 
 PROMPT_CLASSES, PROMPT_PROPERTIES = 60, 40
 INLINABLE = ["value", "temporal", "metadata"]
+#: Settings under which reading a payload takes nothing that is not JSON.
+STRICT = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # The heuristic types an implicit fact may have.
 HEURISTIC_TYPES = [
     "presupposition", "conversational_implicature", "factual_impact", "image_schema", "metonymic_coercion",
@@ -58,10 +60,10 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
     Entities need a name and a known type; relationships a known relation and two names extracted
     from the same document, in any case; they take the extracted spelling. Confidence is 1 if absent.
     """
-    parsed = cut(payloads.select(
-        "doc_id", F.col("payload").alias("head"), F.try_parse_json("payload").isNull().alias("bad"),
-        F.from_json("payload", EXTRACTION).alias("p"),
-    ))
+    read = payloads.select("doc_id", F.col("payload").alias("head"), F.from_json("payload", f"{EXTRACTION[:-1]},_corrupt:string>", STRICT).alias("p"))
+    # A payload that was read to its end is JSON; only the others are parsed again, to tell broken ones from those of other types.
+    doubtful = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
+    parsed = cut(read.select("doc_id", "head", F.when(doubtful, F.try_parse_json("head").isNull()).otherwise(F.lit(False)).alias("bad"), F.col("p").dropFields("_corrupt").alias("p")))
     bad = parsed.filter("bad").select("doc_id", F.concat(F.lit("Could not parse response as JSON: "), "head").alias("reason"))
     good = parsed.filter(~F.col("bad"))
 

@@ -207,3 +207,17 @@ def test_recall(spark):
     assert [r["id"] for r in recall.keyword_recall(m, s, "acme", 2).collect()] == ["m4", "m3"]
     got = recall.question_recall(m, s, "What did I ask about Acme, FINMA or Zebra?").orderBy("rank").collect()
     assert [r["id"] for r in got] == ["m4", "m3", "m2", "m1"] and abs(got[0]["confidence"] - 2 / 3) < 1e-9
+
+
+def test_payloads_are_json_or_rejected(spark):
+    """A payload that is read to its end is not parsed again; one that repeats a key is JSON, as the reference's parser has it."""
+    from types import SimpleNamespace
+
+    from knotwork.operators import extraction
+
+    rows = ['{"entities":[{"name":"A","type":"t"}],"x":1,"x":2}', '{"entities":[{"name":"B","type":"t"}', "{'entities':[]}", "", '{"entities":[{"name":"C","type":"t","confidence":NaN}]}', '{"entities":5}', None]
+    payloads = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, payload string")
+    onto = SimpleNamespace(classes=spark.createDataFrame([("u", "t", 1)], "uri string, label string, ord int"), properties=spark.createDataFrame([], "uri string, label string, domain string, range string, ord int"))
+    entities, _, rejects = extraction.validate(payloads, onto)
+    assert [(r["doc_id"], r["name"]) for r in entities.collect()] == [(0, "A")]
+    assert sorted(r["doc_id"] for r in rejects.collect()) == [1, 2, 3, 4, 6]
