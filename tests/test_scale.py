@@ -40,6 +40,21 @@ def test_shuffles_start_with_partitions_for_the_rows(spark, monkeypatch):
         spark.conf.unset(name)
 
 
+def test_merged_shuffles_do_not_grow_with_the_tables(spark, monkeypatch):
+    from knotwork.plans.tpch_graph import TpchGraph
+
+    names = ["spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"]
+    monkeypatch.setattr(registry, "ROWS", 100)
+    try:
+        registry.fit_shuffles(TpchGraph(spark, "/root/testdata/sf0.001"))
+        wide = spark.range(1 << 18).withColumn("x", F.concat(*[F.sha2(F.concat("id", F.lit(i)), 512) for i in range(4)]))
+        assert wide.groupBy(F.xxhash64("id").alias("k")).agg(F.max("x").alias("x")).rdd.getNumPartitions() > 6
+        assert spark.conf.get(names[2]) == registry.SCANNED
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def test_projection_carries_no_column_that_nothing_reads(make):
     rows = project(make.edges([("a", "b", "R", 1.0), ("a", "b", "S", 2.0), ("b", "c")]))
     plan = rows.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
