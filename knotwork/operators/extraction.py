@@ -11,6 +11,7 @@ from knotwork.functions.text import tokens
 from knotwork.operators.filters import _known_flag
 from knotwork.operators.loop import cut, folder, keep_first
 from knotwork.operators.ranking import number_rows, top_k
+from knotwork.operators.searches import join_few
 from knotwork.schema import EXTRACTION, HEURISTIC
 from knotwork.sources.ontology import Ontology
 
@@ -113,7 +114,7 @@ def plan_materialization(entities: DataFrame, relationships: DataFrame, roles: D
     ).select("doc_id", "x.*")
     per = ends.groupBy("doc_id", "name").agg(F.count("*").alias("fanout"), F.min(F.struct("other", "relation")).alias("only"))
     one = keep_first(entities.select("doc_id", "name", "type", "pos"), ["doc_id", "name"], [(-F.col("pos")).alias("_p")]).drop("pos")
-    rows = one.join(roles, "type", "left").join(per, ["doc_id", "name"], "left").withColumn("fanout", F.coalesce("fanout", F.lit(0)))
+    rows = join_few(one, roles, "type").join(per, ["doc_id", "name"], "left").withColumn("fanout", F.coalesce("fanout", F.lit(0)))
     inline = F.coalesce(F.col("role").isin(INLINABLE) & (F.col("fanout") == 1) & (F.col("only.other") != F.col("name")), F.lit(False))
     reason = F.when(inline, F.concat(F.lit("role="), "role", F.lit(", fanout=1, inlined via '"), F.col("only.relation"), F.lit("'"))).when(
         F.col("role").isNull(), F.lit("no role resolved")).otherwise(F.concat(F.lit("role="), "role", F.lit(", fanout="), F.col("fanout").cast("string")))

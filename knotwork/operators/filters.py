@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import edge_id, entity_id
+from knotwork.operators.searches import join_few
 
 
 def _has(column: str, text: str):
@@ -37,11 +38,8 @@ def known_types(rows: DataFrame, column: str, vocabulary: DataFrame, known: bool
 
 
 def _known_flag(rows: DataFrame, column: str, vocabulary: DataFrame, flag: str) -> DataFrame:
-    labels = vocabulary.select(F.lower("label").alias(f"_{flag}")).distinct()
-    return (
-        rows.join(labels, F.lower(F.col(column)) == F.col(f"_{flag}"), "left")
-        .withColumn(flag, F.col(f"_{flag}").isNotNull()).drop(f"_{flag}")
-    )
+    labels = vocabulary.select(F.lower("label").alias("_key"), F.lit(True).alias(flag)).distinct()
+    return join_few(rows.withColumn("_key", F.lower(column)), labels, "_key").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_key")
 
 
 def add_nodes(rows: DataFrame, classes: DataFrame, graph_id: str) -> DataFrame:

@@ -14,7 +14,8 @@ from knotwork.operators.loop import cut
 
 def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows range partitioned on keys and order, with the range number in ``_range``."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    parts = max(int(least), int(df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", least)))
     placed = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
     return cut(placed)
 

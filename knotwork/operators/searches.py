@@ -39,6 +39,21 @@ def join_hot(big: DataFrame, small: DataFrame, key: str, size: int, how: str = "
     return dealt.join(copies.drop("_parts"), [key, "_part"], how).drop("_part")
 
 
+def join_few(big: DataFrame, few: DataFrame, key: str, most: int = 100_000) -> DataFrame:
+    """``big`` with the columns of ``few``, which has one row for each of a few values of ``key`` that many rows share.
+
+    A shuffle would gather all rows of a frequent value in one task. ``few`` is written and sent to all tasks while it
+    has ``most`` rows or fewer; beyond that the rows of a value are dealt into parts, and ``few`` is copied to each.
+    """
+    few, seen = cut_counting(few, n=F.count("*"))
+    if seen["n"] <= most:
+        return big.join(F.broadcast(few), key, "left")
+    parts = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = big.withColumn("_part", F.pmod(F.xxhash64(*[c for c in big.columns if c != key]), F.lit(parts).cast("bigint")))
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return dealt.join(copies, [key, "_part"], "left").drop("_part")
+
+
 class Links:
     """Edges kept by their source, in which the edges of a hub are dealt into parts.
 

@@ -55,6 +55,34 @@ def test_merged_shuffles_do_not_grow_with_the_tables(spark, monkeypatch):
             spark.conf.unset(name)
 
 
+def test_frequent_types_and_ranges_do_not_gather_in_one_task(spark, onto):
+    from knotwork.operators import extraction, ontology, ranking
+    from knotwork.operators.searches import join_few
+
+    rows = cut(spark.range(4000).select(F.lit("Rate of Return").alias("type"), F.col("id").alias("doc_id"), F.lit("x").alias("name"), F.lit(0).alias("pos")))
+    links = spark.createDataFrame([], "doc_id bigint, source string, target string, relation string")
+    few = spark.createDataFrame([("Rate of Return", "value"), ("other", "none")], "type string, role string")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "32",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        plan = extraction.plan_materialization(rows, links, ontology.type_roles(rows.select("type"), ontology.label_closure(onto)))
+        assert "hashpartitioning(type" not in plan._jdf.queryExecution().executedPlan().toString()
+        assert {r["reason"] for r in plan.collect()} == {"role=value, fanout=0"}
+        for most in (0, 2):
+            found = join_few(rows, few, "type", most).withColumn("p", F.spark_partition_id())
+            assert found.filter("role = 'value'").count() == 4000
+            assert found.groupBy("p").count().agg(F.max("count")).first()[0] < 4000, most
+        assert ranking.ranged(rows, ["type"], ["doc_id"]).select("_range").distinct().count() > 16
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_projection_carries_no_column_that_nothing_reads(make):
     rows = project(make.edges([("a", "b", "R", 1.0), ("a", "b", "S", 2.0), ("b", "c")]))
     plan = rows.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
