@@ -170,6 +170,38 @@ def test_louvain_modularity(make):
     assert community.modularity(community.undirected(edges), found) > 0.55
 
 
+def test_components_contract_and_hashes_are_unique(spark, make, monkeypatch):
+    rnd, sizes, plain, seeds = random.Random(4), [], components.stored_counting, []
+    links = [(f"n{rnd.randrange(300)}", f"n{rnd.randrange(300)}") for _ in range(1500)] + [("x1", "x2"), ("x2", "x0")]
+    nodes, edges = make.nodes([(f"n{i}", "T") for i in range(300)] + [("alone", "T")]), make.edges(links)
+
+    def counting(df, **metrics):
+        done, seen = plain(df, **metrics)
+        sizes.append(seen["n"])
+        return done, seen
+
+    def clashing(column, seed):
+        seeds.append(seed)
+        return F.lit(7).cast("bigint") if seed == 0 else F.xxhash64(F.lit(seed), F.col(column))
+
+    parent = {}
+
+    def find(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for s, t in links:
+        a, b = sorted((find(s), find(t)))
+        parent[b] = a
+    want = {r["id"]: find(r["id"]) for r in nodes.collect()} | {v: find(v) for v in ("x0", "x1", "x2")}
+    monkeypatch.setattr(components, "stored_counting", counting)
+    assert values(components.min_labels(edges, nodes), "id", "component") == want
+    assert sum(sizes[1:]) < sizes[0] / 2, sizes
+    monkeypatch.setattr(components, "_hash", clashing)
+    assert values(components.min_labels(edges, nodes), "id", "component") == want and max(seeds) == 1
+
+
 def test_long_chain_components(make):
     names = [f"n{i:03d}" for i in range(200)]
     order = names[:]
