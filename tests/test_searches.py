@@ -56,6 +56,17 @@ def test_hub_is_dealt_into_parts(spark):
     assert sorted(split.meet(front, "left").select("source", "target", "v").collect(), key=str) == sorted(whole.meet(front, "left").select("source", "target", "v").collect(), key=str)
 
 
+def test_passes_grow_with_what_they_reach(make, monkeypatch):
+    """Pairs reach one node each, so a pass of 4000 rows holds more blocks than if each block reached all nodes."""
+    nodes = make.nodes([(f"{side}{i:04}", "T") for i in range(2000) for side in "ab"])
+    edges = make.edges([(f"a{i:04}", f"b{i:04}") for i in range(2000)])
+    found, plain = [], centrality.search
+    monkeypatch.setattr(centrality, "search", lambda links, part: found.append(part.count()) or plain(links, part))
+    got = {r["id"]: (r["reached"], r["hops"], r["far"]) for r in centrality.hop_profile(nodes, edges, rows=4000).collect()}
+    assert got == {f"{side}{i:04}": ((1, 0, 0), (2, 1, 1))[side == "b"] for i in range(2000) for side in "ab"}
+    assert len(found) <= 4 and sum(found) == 4000, found
+
+
 def test_hot_key_of_a_join(spark):
     big = spark.range(500).select(F.col("id"), F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"))
     small = spark.createDataFrame([(1, "a"), (450, "b")], "k bigint, v string")
