@@ -165,13 +165,17 @@ def near_keys(values: pd.Series) -> pd.Series:
 
 
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct ``fingerprint`` values that differ in ``bits`` (3 at most) or fewer bits."""
+    """(a, b), a < b: the pairs of distinct ``fingerprint`` values that differ in ``bits`` (3 at most) or fewer bits.
+
+    The sides are merged: Spark takes either for as small as the fingerprints, though a hundred keys come of each, and
+    would send all of them through the driver.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("the segments guarantee up to three differing bits")
     near = distinct.select(F.explode(own_keys("fingerprint")).alias("key"), F.col("fingerprint").alias("a"))
     wide = distinct.select(F.explode(near_keys("fingerprint")).alias("key"), F.col("fingerprint").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return near.join(wide, (near["key"] == wide["key"]) & close).select("a", "b").distinct()
+    return near.hint("merge").join(wide.hint("merge"), (near["key"] == wide["key"]) & close).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:

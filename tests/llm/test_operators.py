@@ -96,6 +96,11 @@ def test_simhash_links(spark):
     assert got == {(a, b) for a, b in itertools.combinations(values, 2) if bin((a ^ b) & mask).count("1") <= 3}
 
 
+def test_simhash_keys_are_not_broadcast(spark):
+    plan = simhash.links(spark.range(1000).withColumnRenamed("id", "fingerprint"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, plan
+
+
 def test_near_duplicates(spark, docs, texts, empty, clashing):
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(texts)
