@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from knotwork.operators.loop import cut
+from knotwork.operators.loop import cut, stored
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows range partitioned on keys and order, with the range number in ``_range``."""
+    """Rows range partitioned on keys and order, with the range number in ``_range``; written as compressed Parquet."""
     least = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     parts = max(int(least), int(df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", least)))
     placed = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
-    return cut(placed)
+    return stored(placed)
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, start: int = 1) -> DataFrame:

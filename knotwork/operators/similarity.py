@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from knotwork.operators.loop import stored
+from knotwork.operators.loop import forget, stored, stored_counting
 from knotwork.operators.projection import neighbour_pairs
-from knotwork.operators.ranking import number_rows
+from knotwork.operators.ranking import dense_edges, dense_ids, number_rows
 from knotwork.operators.searches import PART, Links
 
 
 #: Neighbours that one row of a list may have.
 CHUNK = 1 << 20
+#: Pairs that a stretch of similar sets may always meet.
+LEAST = 1 << 22
 
 
 def _met(pairs: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +66,7 @@ def _score(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return out.select("u", "v", F.when(union > 0, F.col("common") / union).otherwise(F.lit(0.0)).alias("score"))
 
 
-def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART) -> DataFrame:
+def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART, rows: int | None = None) -> DataFrame:
     """All pairs u < v with Jaccard at or above the threshold, without trying all pairs.
 
     Neighbours are ordered from rare to common. Two sets that are similar enough share one of the
@@ -73,28 +75,50 @@ def similar_pairs(edges: DataFrame, threshold: float = 0.5, most: int = PART) ->
     before the exact count. Heads meet within neighbouring size buckets alone, as sets of very unlike size are not
     similar; what meets on a neighbour that very many share is dealt into parts. With a threshold of 0 or less every
     pair would qualify.
+
+    Nodes go by numbers, and the sets meet in stretches of ``u`` in which about ``rows`` pairs meet, as many as there
+    are neighbours where none is given; the shuffle files of a stretch go before the next one.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     t = F.lit(float(threshold))
-    near = stored(neighbour_pairs(edges))
+    named = stored(neighbour_pairs(edges))
+    ids = dense_ids(named.select(F.col("a").alias("id")))
+    numbered = dense_edges(named.select(F.col("a").alias("source"), F.col("b").alias("target")), ids)
+    near, seen = stored_counting(numbered.select(F.col("source").alias("a"), F.col("target").alias("b")), n=F.count("*"))
+    forget(named)
     sizes = _sizes(near)
     common = near.groupBy("b").agg(F.count("*").alias("f"))
+
+    def tail(n: str) -> Column:
+        return F.greatest(F.lit(0), F.ceil(t * F.col(n) - 1e-9) - 1)
+
     ranked = number_rows(near.join(common, "b"), ["a"], ["f", "b"], "pos").join(sizes, "a")
-    kept = F.least(F.col("n"), F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1)
-    head = stored(ranked.filter(F.col("pos") <= kept).select("a", "b", "n", (F.col("n") - kept).alias("tail")))
     # Sizes in a ratio of at least the threshold lie in the same bucket or in neighbouring ones.
     bucket = F.floor(F.ln("n") / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("n")
-    sized = head.withColumn("_k", bucket.cast("bigint"))
-    there = Links(sized.select(F.struct("b", F.col("_k").alias("k")).alias("source"), F.col("a").alias("v"), F.col("n").alias("nv"), F.col("tail").alias("tv")), most)
-    around = sized.withColumn("_k", F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1)))
-    here = around.select(F.struct("b", F.col("_k").alias("k")).alias("source"), F.col("a").alias("u"), F.col("n").alias("nu"), F.col("tail").alias("tu"))
-    met = there.meet(here).filter(
-        (F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9)
-    ).groupBy("u", "v", "nu", "nv", "tu", "tv").agg(F.count("*").alias("c"))
-    need = t / (t + 1) * (F.col("nu") + F.col("nv")) - 1e-9
-    pairs = stored(met.filter(F.col("c") + F.greatest("tu", "tv") >= need).select("u", "v"))
-    return _score(pairs, near).filter(F.col("score") >= t)
+    head = stored(ranked.filter(F.col("pos") <= F.col("n") - tail("n")).select("a", "b", "n", bucket.cast("bigint").alias("_k")))
+    around = F.explode(F.array(F.col("_k") - 1, F.col("_k"), F.col("_k") + 1))
+    counts = stored(head.groupBy("b", "_k").agg(F.count("*").alias("m")))
+    others = counts.withColumn("_k", around).groupBy("b", "_k").agg(F.sum("m").alias("o"))
+    meeting = counts.join(others, ["b", "_k"]).agg(F.coalesce(F.sum(F.col("m") * F.col("o")), F.lit(0))).first()[0]
+    turns = max(1, math.ceil(meeting / 2 / (rows or max(seen["n"], LEAST))))
+    source = F.struct("b", F.col("_k").alias("k")).alias("source")
+    there = Links(head.select(source, F.col("a").alias("v"), F.col("n").alias("nv")), most)
+    need, found = t / (t + 1) * (F.col("nu") + F.col("nv")) - 1e-9, []
+    for turn in range(turns):
+        here = head.filter(F.pmod("a", F.lit(turns)) == turn).withColumn("_k", around).select(source, F.col("a").alias("u"), F.col("n").alias("nu"))
+        met = there.meet(here).filter((F.col("u") < F.col("v")) & (F.least("nu", "nv") >= t * F.greatest("nu", "nv") - 1e-9))
+        met = met.groupBy("u", "v").agg(F.count("*").alias("c"), F.max("nu").alias("nu"), F.max("nv").alias("nv"))
+        found.append(stored(met.filter(F.col("c") + F.greatest(tail("nu"), tail("nv")) >= need).select("u", "v")))
+    there.drop()
+    forget(head, counts)
+    pairs = found[0]
+    for part in found[1:]:
+        pairs = pairs.unionByName(part)
+    scored = _score(stored(pairs), near).filter(F.col("score") >= t)
+    forget(*found)
+    u, v = (ids.select(F.col("id").alias(f"_{c}"), F.col("n").alias(c)) for c in "uv")
+    return scored.join(u, "u").join(v, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"), "score")
 
 
 def adamic_adar(edges: DataFrame, pairs: DataFrame) -> DataFrame:

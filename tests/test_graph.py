@@ -122,6 +122,22 @@ def test_shared_neighbours(make, spark):
         similarity.similar_pairs(edges, 0)
 
 
+def test_similar_pairs_meet_in_stretches(make, monkeypatch):
+    """No stretch meets many more pairs than it may, and numbers give the pairs that names did."""
+    rnd, met, plain = random.Random(8), [], similarity.Links.meet
+    links = [(f"c{i}", f"p{rnd.randrange(12)}") for i in range(40) for _ in range(rnd.randrange(1, 7))]
+    monkeypatch.setattr(similarity.Links, "meet", lambda *a: met.append(0) or plain(*a))
+    whole = set(map(tuple, similarity.similar_pairs(make.edges(links), 0.4).collect()))
+    assert len(met) == 1
+    parts = set(map(tuple, similarity.similar_pairs(make.edges(links), 0.4, rows=50).collect()))
+    assert len(met) > 4 and parts == whole
+    sets = {}
+    for s, t in links:
+        sets.setdefault(s, set()).add(t)
+        sets.setdefault(t, set()).add(s)
+    assert {(u, v) for u, v, _ in whole} == {(u, v) for u in sets for v in sets if u < v and len(sets[u] & sets[v]) >= 0.4 * len(sets[u] | sets[v])}
+
+
 @pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8])
 def test_similar_pairs_brute(make, threshold):
     rnd = random.Random(11)

@@ -28,6 +28,12 @@ def test_finished_steps_leave_no_shuffle_files(spark):
     assert spark.conf.get(RELEASE) == before
 
 
+def test_ranges_are_kept_as_parquet(spark):
+    from knotwork.operators.ranking import ranged
+
+    assert all(f.endswith(".parquet") for f in ranged(spark.range(50), [], ["id"]).inputFiles() or ["none"])
+
+
 def test_shuffles_start_with_partitions_for_the_rows(spark, monkeypatch):
     from knotwork.plans.tpch_graph import TpchGraph
 
