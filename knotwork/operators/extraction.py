@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import tokens
 from knotwork.operators.filters import _known_flag
-from knotwork.operators.loop import cut, folder, keep_first
+from knotwork.operators.loop import cut, folder, keep_first, stored
 from knotwork.operators.ranking import number_rows, top_k
 from knotwork.operators.searches import join_few
 from knotwork.schema import EXTRACTION, HEURISTIC
@@ -64,7 +64,9 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
     read = payloads.select("doc_id", F.col("payload").alias("head"), F.from_json("payload", f"{EXTRACTION[:-1]},_corrupt:string>", STRICT).alias("p"))
     # A payload that was read to its end is JSON; only the others are parsed again, to tell broken ones from those of other types.
     doubtful = F.col("p").isNull() | F.col("p._corrupt").isNotNull()
-    parsed = cut(read.select("doc_id", "head", F.when(doubtful, F.try_parse_json("head").isNull()).otherwise(F.lit(False)).alias("bad"), F.col("p").dropFields("_corrupt").alias("p")))
+    read = read.withColumn("bad", F.when(doubtful, F.try_parse_json("head").isNull()).otherwise(F.lit(False)))
+    # Only the text of a broken payload is needed again.
+    parsed = stored(read.select("doc_id", F.when(F.col("bad"), F.col("head")).alias("head"), "bad", F.col("p").dropFields("_corrupt").alias("p")))
     bad = parsed.filter("bad").select("doc_id", F.concat(F.lit("Could not parse response as JSON: "), "head").alias("reason"))
     good = parsed.filter(~F.col("bad"))
 
@@ -75,7 +77,7 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
         "doc_id", "pos", text("e.name").alias("name"), text("e.type").alias("type"),
         F.coalesce(F.expr("try_cast(e.confidence as double)"), F.lit(1.0)).alias("confidence"),
     )
-    rows = cut(_known_flag(rows, "type", onto.classes, "known"))
+    rows = stored(_known_flag(rows, "type", onto.classes, "known"))
     missing = (F.col("name") == "") | (F.col("type") == "")
     entities = rows.filter(~missing & F.col("known")).drop("known")
     bad_entities = rows.filter(missing | ~F.col("known")).select("doc_id", F.when(missing, F.concat(F.lit("Entity missing name/type: "), "name")).otherwise(
@@ -86,10 +88,11 @@ def validate(payloads: DataFrame, onto: Ontology) -> tuple[DataFrame, DataFrame,
         F.coalesce(F.expr("try_cast(r.confidence as double)"), F.lit(1.0)).alias("confidence"),
     )
     links = _known_flag(links, "relation", onto.properties, "known")
+    # Merged: Spark takes what was read from compressed files for small enough to broadcast.
     for side in ("source", "target"):
-        spell = names.select("doc_id", F.col("key").alias(f"_{side}"), F.col("name").alias(f"{side}_name"))
+        spell = names.select("doc_id", F.col("key").alias(f"_{side}"), F.col("name").alias(f"{side}_name")).hint("merge")
         links = links.withColumn(f"_{side}", F.lower(side)).join(spell, ["doc_id", f"_{side}"], "left").drop(f"_{side}")
-    links = cut(links)
+    links = stored(links)
     both = F.col("source_name").isNotNull() & F.col("target_name").isNotNull()
     relationships = links.filter(F.col("known") & both).select(
         "doc_id", "pos", F.col("source_name").alias("source"), "relation", F.col("target_name").alias("target"), "confidence"
@@ -114,7 +117,7 @@ def plan_materialization(entities: DataFrame, relationships: DataFrame, roles: D
     ).select("doc_id", "x.*")
     per = ends.groupBy("doc_id", "name").agg(F.count("*").alias("fanout"), F.min(F.struct("other", "relation")).alias("only"))
     one = keep_first(entities.select("doc_id", "name", "type", "pos"), ["doc_id", "name"], [(-F.col("pos")).alias("_p")]).drop("pos")
-    rows = join_few(one, roles, "type").join(per, ["doc_id", "name"], "left").withColumn("fanout", F.coalesce("fanout", F.lit(0)))
+    rows = join_few(one, roles, "type").join(per.hint("merge"), ["doc_id", "name"], "left").withColumn("fanout", F.coalesce("fanout", F.lit(0)))
     inline = F.coalesce(F.col("role").isin(INLINABLE) & (F.col("fanout") == 1) & (F.col("only.other") != F.col("name")), F.lit(False))
     reason = F.when(inline, F.concat(F.lit("role="), "role", F.lit(", fanout=1, inlined via '"), F.col("only.relation"), F.lit("'"))).when(
         F.col("role").isNull(), F.lit("no role resolved")).otherwise(F.concat(F.lit("role="), "role", F.lit(", fanout="), F.col("fanout").cast("string")))

@@ -34,6 +34,21 @@ def test_ranges_are_kept_as_parquet(spark):
     assert all(f.endswith(".parquet") for f in ranged(spark.range(50), [], ["id"]).inputFiles() or ["none"])
 
 
+def test_validated_payloads_are_kept_as_parquet_and_merged(spark, onto):
+    from knotwork.operators import extraction
+
+    text = '{"entities":[{"name":"HDFC","type":"commercial bank"},{"name":"P","type":"security"}],"relationships":[{"source":"hdfc","relation":"issues","target":"P"}]}'
+    entities, links, dropped = extraction.validate(spark.createDataFrame([(1, text), (2, "no JSON")], "doc_id bigint, payload string"), onto)
+    for rows in (entities, links):
+        assert rows.inputFiles() and all(f.endswith(".parquet") for f in rows.inputFiles())
+    roles = spark.createDataFrame([], "type string, role string")
+    plan = extraction.plan_materialization(entities, links, roles)
+    assert "SortMergeJoin" in plan._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["name"]) for r in entities.collect()} == {(1, "HDFC"), (1, "P")}
+    assert [(r["source"], r["target"]) for r in links.collect()] == [("HDFC", "P")]
+    assert [r["reason"] for r in dropped.collect()] == ["Could not parse response as JSON: no JSON"]
+
+
 def test_shuffles_start_with_partitions_for_the_rows(spark, monkeypatch):
     from knotwork.plans.tpch_graph import TpchGraph
 
