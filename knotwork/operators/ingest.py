@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from knotwork.functions.text import entity_id, slug
 from knotwork.operators.extraction import plan_materialization, validate
-from knotwork.operators.loop import cut, keep_last
+from knotwork.operators.loop import keep_last, stored
 from knotwork.operators.ontology import label_closure, type_roles
 from knotwork.operators.temporal import upsert_edges, upsert_entities
 from knotwork.sources.ontology import Ontology
@@ -34,11 +34,12 @@ def ingest_log(documents: DataFrame, onto: Ontology, graph_id: str) -> IngestLog
     """
     entities, relationships, dropped = validate(documents.select("doc_id", "payload"), onto)
     roles = type_roles(entities.select("type"), label_closure(onto))
-    plan = cut(plan_materialization(entities, relationships, roles))
+    plan = stored(plan_materialization(entities, relationships, roles))
     graph, event = F.lit(graph_id), F.concat(F.lit(f"{graph_id}:evt-"), F.col("doc_id").cast("string"))
-    about = documents.select("doc_id", "source_doc", "at")
+    # Merged: Spark takes what was read from compressed files for small enough to broadcast.
+    about = documents.select("doc_id", "source_doc", "at").hint("merge")
     policy = plan.select("doc_id", "name", "policy", "attach_to")
-    kept = entities.join(policy.filter(F.col("policy") == "node").select("doc_id", "name"), ["doc_id", "name"], "left_semi").join(about, "doc_id")
+    kept = entities.join(policy.filter(F.col("policy") == "node").select("doc_id", "name").hint("merge"), ["doc_id", "name"], "left_semi").join(about, "doc_id")
     order = F.struct("at", "doc_id", "pos")
     nodes = kept.select(
         graph.alias("graph_id"), entity_id(graph, "name").alias("id"), F.col("name").alias("label"), "type", "source_doc",
@@ -46,10 +47,10 @@ def ingest_log(documents: DataFrame, onto: Ontology, graph_id: str) -> IngestLog
     )
     s = policy.select("doc_id", F.col("name").alias("source"), F.col("policy").alias("sp"), F.col("attach_to").alias("sa"))
     t = policy.select("doc_id", F.col("name").alias("target"), F.col("policy").alias("tp"), F.col("attach_to").alias("ta"))
-    routed = relationships.join(s, ["doc_id", "source"]).join(t, ["doc_id", "target"]).join(about, "doc_id")
+    routed = relationships.join(s.hint("merge"), ["doc_id", "source"]).join(t.hint("merge"), ["doc_id", "target"]).join(about, "doc_id")
     into_source = (F.col("tp") == "property") & (F.col("ta") == F.col("source"))
     into_target = (F.col("sp") == "property") & (F.col("sa") == F.col("target"))
-    routed = cut(routed.withColumn("route", F.when(into_source, "source").when(into_target, "target").otherwise("edge")))
+    routed = stored(routed.withColumn("route", F.when(into_source, "source").when(into_target, "target").otherwise("edge")))
     owner = F.when(F.col("route") == "source", F.col("source")).otherwise(F.col("target"))
     value = F.when(F.col("route") == "source", F.col("target")).otherwise(F.col("source"))
     owner_policy = F.when(F.col("route") == "source", F.col("sp")).otherwise(F.col("tp"))
@@ -67,7 +68,7 @@ def ingest_log(documents: DataFrame, onto: Ontology, graph_id: str) -> IngestLog
         .join(relationships.groupBy("doc_id").agg(F.count("*").alias("relationship_count")), "doc_id", "full_outer")
         .join(dropped.groupBy("doc_id").agg(F.count("*").alias("dropped_count")), "doc_id", "full_outer")
     )
-    events = documents.join(sizes, "doc_id", "left").select(
+    events = documents.join(sizes.hint("merge"), "doc_id", "left").select(
         event.alias("id"), graph.alias("graph_id"), "text", F.col("at").alias("created_at"),
         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("entity_count", "relationship_count", "dropped_count")],
     )
