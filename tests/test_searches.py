@@ -67,6 +67,20 @@ def test_passes_grow_with_what_they_reach(make, monkeypatch):
     assert len(found) <= 4 and sum(found) == 4000, found
 
 
+def test_dense_searches_go_by_numbers_within_the_links(spark, make, monkeypatch):
+    """The arcs of a component are numbers before they are made distinct, and partitions do not widen a pass."""
+    nodes, edges = make.nodes([(f"n{i}", "T") for i in range(20)]), make.edges([(f"n{i}", f"n{i + 1}") for i in range(19)] + [("n3", "n3")])
+    _, arcs, _ = paths._component_graph(nodes, edges)
+    assert dict(arcs.dtypes) == {"source": "bigint", "target": "bigint"} and arcs.count() == 38
+    links = searches.Links(arcs)
+    monkeypatch.setattr(searches, "ROWS", 1)
+    monkeypatch.setattr(searches, "DENSE", 2)
+    assert searches.room_within(links) == 19
+    links.drop()
+    row = paths.hop_metrics(nodes, edges).first()
+    assert (row["diameter"], row["other_components"]) == (19.0, 0) and abs(row["average_path_length"] - 7) < 1e-9
+
+
 def test_hot_key_of_a_join(spark):
     big = spark.range(500).select(F.col("id"), F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"))
     small = spark.createDataFrame([(1, "a"), (450, "b")], "k bigint, v string")
